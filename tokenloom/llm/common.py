@@ -55,14 +55,14 @@ def write_file(uri: str, data: bytes) -> None:
     fs, path = open_fs(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         out.write(data)
     fs.move(part, path)
 
 
 def read_file(uri: str) -> bytes:
     fs, path = open_fs(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
