@@ -29,3 +29,79 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import rules
 
     return rules(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH d AS (
+    SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+""")
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import groups
+
+    return groups(table(spark, sf_dir, "documents")).drop("uid")
+
+
+@query()
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM q
+""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH l AS (
+    SELECT doc_id, i, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+    FROM (
+        SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
+    )
+), key AS (
+    SELECT doc_id, i, line, CASE WHEN length(k) >= 10 THEN translate(k, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS k
+    FROM l
+), twice AS (
+    SELECT k, min(doc_id) AS keep FROM key WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+    SELECT key.*, keep IS NOT NULL AND keep <> doc_id AS gone FROM key LEFT JOIN twice USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"), ["doc_id"], texts=False)
+
+
+@query()
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
