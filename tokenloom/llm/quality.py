@@ -227,7 +227,7 @@ def _step(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
     b = b.withColumn("before", F.sum("n").over(w.orderBy("bucket")) - F.col("n")).withColumn("all", F.sum("n").over(w))
     b = b.where(F.col("before") < F.ceil(F.col("all") * share))
     s = b.groupBy(*_KEY, "start").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    return written(s.mapInPandas(_inverse(consistency(share, P), FLOOR), _PAR_SCHEMA), "params")
+    return s.mapInPandas(_inverse(consistency(share, P), FLOOR), _PAR_SCHEMA)
 
 
 def _scoped(counts: DataFrame, min_rows: int) -> DataFrame:
@@ -249,9 +249,9 @@ def _scoped(counts: DataFrame, min_rows: int) -> DataFrame:
 
 def fit(stats: DataFrame, share: float = 0.5, steps: int = 30, tolerance: float = 1e-3, min_rows: int = 100, trim: float = 0.975) -> DataFrame:
     """The estimates, one row per (lang, source) that they judge. ``stats``: written rows of
-    lang, source and ``_stat``. Steps end when no determinant moves by more than ``tolerance``
-    (relative); ``steps`` only guards against an endless alternation of
-    concentration steps; they converge long before."""
+    lang, source and ``_stat``. A step that doesn't lower its determinant is
+    not taken; steps end when none falls by more than ``tolerance`` (relative). ``steps``
+    is a guard that isn't reached."""
     usable = stats.where(~base_failed())
     counts = usable.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     scope = written(_scoped(counts, min_rows), "scope")
@@ -271,9 +271,12 @@ def fit(stats: DataFrame, share: float = 0.5, steps: int = 30, tolerance: float
     params = written(first.unionByName(classic.withColumn("logdet", F.lit(1e9))), "params")
     for _ in range(steps):
         new = _step(rows, params, share)
-        old = params.select(*_KEY, "start", F.col("logdet").alias("old"))
-        moved = new.join(old, [*_KEY, "start"]).agg(F.max(F.abs(F.col("old") - F.col("logdet")))).first()[0]
-        params = new
+        both = params.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+        rest = [c for c in params.columns if c not in (*_KEY, "start")]
+        both = both.groupBy(*_KEY, "start").agg(F.min_by(F.struct(*rest), F.struct("logdet", "turn")).alias("p"), (F.max_by("logdet", -F.col("turn")) - F.min("logdet")).alias("fell"))
+        both = written(both.select(*_KEY, "start", "p.*", "fell"), "params")
+        moved = both.agg(F.max("fell")).first()[0]
+        params = both.drop("fell")
         if moved is None or moved < tolerance:
             break
     best = params.groupBy(*_KEY).agg(F.min_by(F.struct(*[c for c in params.columns if c not in _KEY]), F.struct("logdet", "start")).alias("p")).select(*_KEY, "p.*")
