@@ -105,3 +105,40 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh
+    FROM w
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+    SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 70 * (nx.n + ny.n - c)
+), reach AS (
+    SELECT x AS a, y AS b FROM link UNION SELECT a, y FROM reach JOIN link ON b = x
+), low AS (
+    SELECT a, min(b) AS b FROM reach GROUP BY a
+), deg AS (
+    SELECT x, count(*) AS d FROM link GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(d, 0) AS n_similar, least(doc_id, coalesce(b, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN low ON a = doc_id LEFT JOIN deg ON x = doc_id
+""")
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar
+
+    return similar(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_token_wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
