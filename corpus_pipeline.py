@@ -1,10 +1,14 @@
-"""From raw documents to packed training sequences, in stages that are each written and reread."""
+"""From raw documents to packed training sequences, in stages that are each written and reread.
+
+The last stage's sequences can't be expressed in SQL (estimates of the first stage, a
+tokenizer in the last), so the whole is tested against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import quality
+from tokenloom.llm import exact, jaccard, packing, quality, secrets
 from tokenloom.llm.common import written
 
 
@@ -13,11 +17,38 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", good)]
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact.unique(docs)
+
+
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in them replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", good),
+    ("exact_dedup", distinct),
+    ("ngram_jaccard", dissimilar),
+    ("secret_scans", without_secrets),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
