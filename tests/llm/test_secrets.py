@@ -1,0 +1,80 @@
+import base64
+import random
+import re
+import string
+
+import numpy as np
+
+import brute
+from conftest import make
+from tokenloom.llm import secrets as s
+
+KEYS = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+ASSIGN = re.compile(KEYS + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+
+
+def base(t):
+    t = t or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [(s.KINDS[k], a, z) for a, k, z in sorted(out)]
+
+
+def test_base_against_brute_force(docs, texts):
+    rows = {r.doc_id: r for r in s.scan(docs).collect()}
+    assert len(rows) == len(texts)
+    found = 0
+    for i, t in enumerate(texts):
+        want = base(t)
+        r = rows[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in want) for kind in s.KINDS[:3])
+        assert r.base_sha256 == brute.sha(s.joined(want))
+        assert set(s.joined(want).split(",")) <= set(r.spans.split(",")) or not want
+        found += len(want)
+    assert found > 4
+
+
+def test_letters_in_either_case_are_ascii():
+    assert base("toKen=abcdefgh") == s.base_spans("toKen=abcdefgh") == []
+    assert s.base_spans('token=token:"abcdefgh"') == base('token=token:"abcdefgh"')
+
+
+def test_random_strings_are_found_and_words_are_not(spark):
+    rng = random.Random(4)
+    mix = string.ascii_letters + string.digits
+    keys = ["".join(rng.choices(mix, k=rng.choice((24, 32, 40)))) for _ in range(40)]
+    keys = [k for k in keys if s.infer(k)] + [base64.b64encode(rng.randbytes(33)).decode() for _ in range(10)]
+    plain = ["internationalization_and_localization/Guide2Words", "aaaaaaaaaaaaaaaaaaaaaaaaaaA1", "Abc123Abc123Abc123Abc123Abc123Abc123", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEF", "extraordinarily-long-and-hyphenated-words"]
+    texts = [f"words {k} more words" for k in keys] + [f"words {p} more words" for p in plain] * 20
+    rows = {r.doc_id: r.spans for r in s.scan(make(spark, texts)).collect()}
+    found = [f"random:6:{6 + len(k)}" in rows[i] for i, k in enumerate(keys)]
+    assert np.mean(found) > 0.95
+    assert not any("random" in rows[i] for i in range(len(keys), len(texts)))
+
+
+def test_p_values_of_random_strings_are_even():
+    rng = random.Random(9)
+    p = np.array([s.combined(s.battery("".join(rng.choices(s.ENCODINGS["base64"][0], k=64)), s.ENCODINGS["base64"][0])) for _ in range(800)])
+    assert abs(np.mean(p < 0.5) - 0.5) < 0.12 and np.mean(p < 0.001) < 0.01
+
+
+def test_bars_follow_the_procedure():
+    counts = np.zeros((s.CLASSES, s.BINS), np.int64)
+    counts[0, [0, 1, 40]] = [5, 5, 100]
+    counts[3, [0, 2, 8]] = [500, 20, 1]
+    bars = s.bars(counts, 0.001)
+    assert bars[0] == 40 and bars[1] == s.BINS and bars[3] == s.BINS
+
+
+def test_redaction(docs, texts, odd, empty):
+    out = s.redact(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        t = texts[r.doc_id]
+        if not base(t) and "kJ8s" not in (t or ""):
+            assert r.text == t
+        elif t:
+            assert "[secret]" in r.text and "AKIA1234" not in r.text and r.n_chars == len(r.text)
+    assert s.scan(empty).collect() == [] and s.redact(empty).collect() == []
+    assert s.scan(odd).count() == odd.count() == s.redact(odd).count()

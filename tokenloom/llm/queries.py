@@ -142,3 +142,10 @@ def op10_token_wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digests
+
+    return digests(table(spark, sf_dir, "documents"))
