@@ -48,9 +48,10 @@ def encode_column(c: Column) -> Column:
 
 
 _ZERO = "".join(chr(i) for i in range(LAST + 1) if chr(i) not in CHAR_TO_BYTE)
+_NUL = "\u0144"  # the first character beyond the table stands for a zero byte on the way
 
 
 def decode_column(c: Column) -> Column:
     """JVM-side inverse for strings without characters beyond the table."""
-    latin = F.translate(F.translate(c, _ZERO, "ń" * len(_ZERO)), _DST + "ń", _SRC + "\0")
+    latin = F.translate(F.translate(c, _ZERO, _NUL * len(_ZERO)), _DST + _NUL, _SRC + "\0")
     return F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
