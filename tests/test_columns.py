@@ -18,6 +18,7 @@ def test_nulls_and_empty_texts(spark):
     assert (r[0].a, r[0].b, r[0].n, r[0].p, r[0].e, r[0].d) == (None,) * 6
     start, stop = t.token_to_id(toy.START), t.token_to_id(toy.STOP)
     assert (r[1].a, r[1].b, r[1].n, r[1].p, r[1].d) == ([], [start, stop], 0, [], "")
+    assert d.select(t.post_process_encoding(t.encoding("text")).alias("e")).where("e is not null and size(e.ids) > 2").first().e.attention_mask == [1] * len(r[2].b)
     assert r[2].b == [start, *r[2].a, stop] and r[2].d == "the"
 
 

@@ -162,6 +162,10 @@ class Tokenizer:
     def post_process(self, ids: Column, add_special_tokens: bool = True) -> Column:
         return postproc.apply_column(self.engine.templates, ids) if add_special_tokens else ids
 
+    def post_process_encoding(self, e: Column, add_special_tokens: bool = True) -> Column:
+        """An encoding struct with the template's ids around its own; its mask is all ones."""
+        return shape.encoding(self.post_process(e["ids"], add_special_tokens))
+
     def num_special_tokens_to_add(self, is_pair: bool = False) -> int:
         return 0 if is_pair else postproc.added(self.engine.templates)
 
