@@ -71,7 +71,7 @@ class PieceModel:
         ranked = np.array_equal(scores, np.rint(scores)) and scores.min() < -1000
         self.score = np.full(n, UNKNOWN)
         self.score[normal] = -np.log1p(scores.max() - scores + 1) if ranked else scores
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         lengths = np.array([len(self.bytes[i]) for i in normal])
         buf = np.frombuffer(b"".join(self.bytes[i] for i in normal), np.uint8)
         ends = np.cumsum(lengths)
@@ -79,7 +79,9 @@ class PieceModel:
         for l in np.unique(lengths).tolist():
             at = np.flatnonzero(lengths == l)
             order = at[np.argsort(h[at])]
-            self.by_length[l] = (h[order], np.array(normal, np.int32)[order])
+            screen = np.zeros(1 << 18, bool)
+            screen[(h[order] >> tk.U(46)).astype(np.int64)] = True
+            self.by_length[l] = (h[order], np.array(normal, np.int32)[order], screen)
         self.spread = all(b" " not in self.bytes[i].lstrip(b" ") for i in normal)
         #: Bytes of one-byte characters that stand in no piece: segments end around them.
         held = np.zeros(256, bool)
@@ -104,6 +106,20 @@ def _uniform(key: np.ndarray, segment: np.ndarray, step: int) -> np.ndarray:
     return (h >> tk.U(11)).astype(np.float64) * 2.0**-53
 
 
+def _prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pw, inv = tk._powers(len(buf) + 1)
+    c = np.zeros(len(buf) + 1, np.uint64)
+    v = tk.VAL[buf]
+    v *= pw[: len(buf)]
+    np.cumsum(v, out=c[1:])
+    return c, inv
+
+
+def _spans(pre: np.ndarray, inv: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """``span_hashes`` of buf[at : at + length] from the sums of ``_prefix_hashes``."""
+    return tk.mix((pre[at + length] - pre[at]) * inv[at] + tk.U(length * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+
+
 class Lattice:
     """Edges of many segments side by side. Positions of segment k are ``base[k]`` (its
     start) to ``base[k] + length``; edges into a position are contiguous, with the running
@@ -125,11 +141,16 @@ class Lattice:
         b = buf[at]
         width += (b >= 0xC0).astype(np.int64) + (b >= 0xE0) + (b >= 0xF0)
         pos = self.base[seg] + off
-        for l, (table, piece) in model.by_length.items():
-            i = np.flatnonzero(lead & (room >= l))
-            if not len(i):
-                continue
-            h = tk.span_hashes(buf, at[i], at[i] + l)
+        pre, inv = _prefix_hashes(buf)
+        left = np.flatnonzero(lead)
+        for l in sorted(model.by_length):
+            table, piece, screen = model.by_length[l]
+            left = left[room[left] >= l]
+            if not len(left):
+                break
+            h = _spans(pre, inv, at[left], l)
+            maybe = screen[(h >> tk.U(46)).view(np.int64)]
+            i, h = left[maybe], h[maybe]
             k = np.minimum(np.searchsorted(table, h), len(table) - 1)
             ok = table[k] == h
             i, k = i[ok], k[ok]
@@ -226,8 +247,14 @@ def sample_chunk(model: PieceModel, ch: tk.Chunk, keys: np.ndarray, alpha: float
     number = np.arange(len(starts)) - np.searchsorted(starts, offs)[doc]
     _, one, which = np.unique(tk.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
     lattice = Lattice(model, buf, starts[one], ends[one], alpha)
-    ids, count = lattice.sample(which, keys[doc], number)
+    # Occurrences of a segment side by side: their lookups fall on the same few edges.
+    by = np.argsort(which, kind="stable")
+    sampled, n = lattice.sample(which[by], keys[doc[by]], number[by])
+    count = np.empty_like(n)
+    count[by] = n
     upto = np.concatenate([[0], np.cumsum(count)])
+    ids = np.empty_like(sampled)
+    ids[np.arange(len(sampled)) + np.repeat(upto[by] - (np.cumsum(n) - n), n)] = sampled
     return ids, upto[np.searchsorted(starts, offs)]
 
 
