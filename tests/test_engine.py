@@ -229,3 +229,22 @@ def test_stream_steps():
     bad = DecodeState([1], "zzz", 1)
     with pytest.raises(TokenizerError, match="^Invalid prefix encountered"):
         bad.step(2, lambda ids: "completely other")
+
+
+def test_many_pieces_side_by_side():
+    import numpy as np
+
+    rng = random.Random(2)
+    m = toy.tokenizer().engine.model
+    rows = [[m.vocab[encode_text(c)] for c in rng.choices("theinaodr s", k=rng.randint(0, 40))] for _ in range(500)]
+    flat = np.array([x for r in rows for x in r], np.int64)
+    got = m.merged_many(flat, np.array([len(r) for r in rows], np.int64))
+    assert [g.tolist() for g in got] == [m.merged(r, 0) for r in rows]
+    none = BPE({"a": 0, "b": 1}, [])
+    assert none.merged_many(np.array([0, 1]), np.array([2]))[0].tolist() == [0, 1]
+    e = toy.tokenizer(added=True).engine
+    e.memory = 3
+    texts = ["the nation <p>of</p>", None, "", "the thing " * 30, "z" * 500]
+    want = [None if t is None else toy.tokenizer(added=True).engine.encode(t) for t in texts]
+    got = [None if x is None else np.frombuffer(x, np.uint32).tolist() for x in e.encode_many(texts)]
+    assert got == want

@@ -22,7 +22,7 @@ def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") ->
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
         e = shipped.engine()
-        return _lists([None if t is None else e.encode_bytes(t) for t in texts.to_pylist()])
+        return _lists(e.encode_many(texts.to_pylist()))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode_special(texts: pa.Array) -> pa.Array:
@@ -40,7 +40,7 @@ def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") ->
     @F.arrow_udf(T.IntegerType())
     def count(texts: pa.Array) -> pa.Array:
         e = shipped.engine()
-        return pa.array([None if t is None else len(e.encode_bytes(t)) // 4 for t in texts.to_pylist()], pa.int32())
+        return pa.array([None if x is None else len(x) // 4 for x in e.encode_many(texts.to_pylist())], pa.int32())
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pa.Array) -> pa.Array:

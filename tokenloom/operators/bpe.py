@@ -1,17 +1,21 @@
 """Byte-pair encoding of pieces: plain Python, shipped to workers once.
 
-Merges are applied lowest rank first, leftmost among equals. Short pieces are scanned;
-long ones keep a heap of candidate merges over a linked list.
+Merges are applied lowest rank first, leftmost among equals. One short piece is scanned;
+a long one keeps a heap of candidate merges over a linked list; many pieces are merged
+side by side in numpy, one merge of every piece a round.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+
 from ..functions.bytes_map import BYTE_TO_CHAR
 from ..sources.spec import TokenizerError, UnsupportedComponent
 
 SCAN = 48
+_NEVER = 1 << 22
 
 
 class BPE:
@@ -39,6 +43,8 @@ class BPE:
             self.parsed.append((rank, *key, new))
         self.byte_ids = [vocab.get(BYTE_TO_CHAR[b]) for b in range(256)]
         self._orphan: dict[str, bool] = {}
+        pairs = sorted(((a << 32 | b), r, n) for (a, b), (r, n) in self.merges.items())
+        self._keys, self._ranks, self._news = (np.array([x[i] for x in pairs], np.int64) for i in range(3))
 
     @staticmethod
     def _bad(m):
@@ -89,6 +95,62 @@ class BPE:
                 heapq.heappush(heap, (m[0], h, (sym[h], new), m[1]))
         return [s for s in sym if s >= 0]
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or ``_NEVER``) and merged id of pairs."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self._keys, key), max(len(self._keys) - 1, 0))
+        if not len(self._keys):
+            return np.full(len(key), _NEVER), at
+        hit = self._keys[at] == key
+        return np.where(hit, self._ranks[at], _NEVER), self._news[at]
+
+    def merged_many(self, ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """``merged`` of many pieces, given one after the other."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lengths)
+        who = np.flatnonzero(lengths > 0)
+        n = lengths[who]
+        sym = ids
+        last = np.cumsum(n) - 1
+        rank, new = np.full(len(sym), _NEVER), np.zeros(len(sym), np.int64)
+        if len(sym) > 1:
+            rank[:-1], new[:-1] = self._rank(sym[:-1], sym[1:])
+        rank[last] = _NEVER
+        index = np.arange(len(sym))
+        while len(who):
+            start = np.cumsum(n) - n
+            best = np.minimum.reduceat(rank * (1 << 40) + index[: len(sym)], start)
+            go = best < _NEVER << 40
+            if not go.all():
+                for k in np.flatnonzero(~go).tolist():
+                    out[who[k]] = sym[start[k] : start[k] + n[k]]
+                keep = np.repeat(go, n)
+                shift = np.cumsum(keep) - 1
+                sym, rank, new = sym[keep], rank[keep], new[keep]
+                best, who, n = best[go], who[go], n[go]
+                if not len(who):
+                    break
+                at = shift[best & (1 << 40) - 1]
+            else:
+                at = best & (1 << 40) - 1
+            sym = sym.copy()
+            sym[at] = new[at]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            # the pair that ended at the right half now starts at the merged symbol
+            rank[at] = rank[at + 1]
+            sym, rank, new = sym[keep], rank[keep], new[keep]
+            at = at - np.arange(len(at))
+            n = n - 1
+            end = np.cumsum(n)
+            right = at[at + 1 < end]
+            rank[at] = _NEVER
+            if len(right):
+                rank[right], new[right] = self._rank(sym[right], sym[right + 1])
+            left = at[at > end - n] - 1
+            if len(left):
+                rank[left], new[left] = self._rank(sym[left], sym[left + 1])
+        return out
+
     def is_orphan(self, token: str) -> bool:
         """A token that merging its characters doesn't come near: it sticks above two symbols.
         Single characters, and tokens with characters out of the vocabulary, aren't."""

@@ -5,11 +5,15 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions.bytes_map import BYTE_TO_CHAR, decode_bytes
+from ..functions.bytes_map import BYTE_TO_CHAR, decode_bytes, encode_text
 from ..sources.spec import TokenizerError, TokenizerSpec, UnsupportedComponent
 from . import added, normalize, postproc, pretok
 from .bpe import BPE
 
+#: Pieces beyond so many characters are merged one at a time, with a heap.
+LONG = 64
+#: Characters of texts whose unknown pieces are encoded together.
+BATCH = 4 << 20
 _DECODERS = ("ByteLevel", "Fuse", "Sequence")
 
 
@@ -29,7 +33,7 @@ class Engine:
     """``encode``, ``pieces``, ``decode`` of single texts. Known pieces are remembered up to
     ``memory`` of them, then forgotten all at once; results don't depend on it."""
 
-    def __init__(self, spec: TokenizerSpec, memory: int = 300_000):
+    def __init__(self, spec: TokenizerSpec, memory: int = 500_000):
         self.added = added.AddedTokens(spec.added_tokens)
         self.normalizers = normalize.build(spec.normalizer)
         self.pretok = pretok.build(spec.pre_tokenizer)
@@ -43,7 +47,8 @@ class Engine:
         self.fused = len(steps) == 2 and isinstance(steps[0], pretok.Split) and isinstance(steps[1], pretok.ByteLevel) and steps[1].bulk
         #: ByteLevel alone cuts raw pieces; their bytes are mapped once per distinct piece.
         self.raw = self.fused or isinstance(p, pretok.ByteLevel)
-        self._known: dict[str, bytes] = {}
+        self._known: dict[str | int, bytes] = {}
+        self._byte_ids = np.array([-1 if i is None else i for i in self.model.byte_ids], np.int64)
 
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
@@ -83,23 +88,63 @@ class Engine:
         show = (lambda p: "".join([BYTE_TO_CHAR[b] for b in p.encode()])) if self.raw else (lambda p: p)
         return [self.added.by_id[p] if isinstance(p, int) else show(p) for p in self.cuts(text)]
 
+    def _learn(self, pieces: list[str | int]) -> dict[str | int, bytes]:
+        """Ids of distinct pieces, as native uint32 bytes."""
+        out: dict[str | int, bytes] = {}
+        short: list[str] = []
+        model = self.model
+        for p in pieces:
+            if isinstance(p, int):
+                out[p] = np.array([p], np.uint32).tobytes()
+            elif not self.raw or len(p) > LONG:
+                out[p] = np.array(self.piece_ids(p), np.uint32).tobytes()
+            else:
+                whole = None
+                if not self.fused or model.ignore_merges:
+                    shown = encode_text(p)
+                    whole = model.vocab.get(shown)
+                    if whole is not None and not self.fused and model.is_orphan(shown):
+                        whole = None
+                if whole is None:
+                    short.append(p)
+                else:
+                    out[p] = np.array([whole], np.uint32).tobytes()
+        if short:
+            data = [p.encode() for p in short]
+            ids = self._byte_ids[np.frombuffer(b"".join(data), np.uint8)]
+            if (ids < 0).any():
+                for p in short:
+                    self.piece_ids(p)  # raises for the byte in question
+            merged = model.merged_many(ids, np.array([len(d) for d in data], np.int64))
+            for p, x in zip(short, merged):
+                out[p] = x.astype(np.uint32).tobytes()
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids of texts as native uint32 bytes; null stays null. Pieces that aren't known yet
+        are encoded side by side."""
+        out: list[bytes | None] = []
+        at = 0
+        while at < len(texts):
+            size, cuts = 0, []
+            while at < len(texts) and size < BATCH:
+                t = texts[at]
+                size += len(t or "")
+                cuts.append(None if t is None else self.cuts(t))
+                at += 1
+            some = set().union(*(c for c in cuts if c))
+            fresh = some - self._known.keys()
+            if len(self._known) + len(fresh) > self.memory:
+                self._known.clear()
+                fresh = some
+            self._known.update(self._learn(list(fresh)))
+            get = self._known.__getitem__
+            out += [None if c is None else b"".join(map(get, c)) for c in cuts]
+        return out
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids as native uint32 bytes."""
-        known = self._known
-        cuts = self.cuts(text)
-        out = list(map(known.get, cuts))
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    p = cuts[i]
-                    x = known.get(p)
-                    if x is None:
-                        x = np.array([p] if isinstance(p, int) else self.piece_ids(p), np.uint32).tobytes()
-                        if len(known) >= self.memory:
-                            known.clear()
-                        known[p] = x
-                    out[i] = x
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
     def encode(self, text: str, add_special_tokens: bool = False) -> list[int]:
         ids = np.frombuffer(self.encode_bytes(text), np.uint32).tolist()

@@ -21,6 +21,7 @@ from ..operators import shape
 from ..operators.added import AddedTokens
 from ..operators.normalize import nfc
 from ..operators.pretok import ByteLevel, Split
+from ..operators.spread import spread
 from ..sources import corpora
 from ..sources.spec import AddedToken, Padding
 from ..streaming.decode_stream import decode_stream
@@ -49,6 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents; a table of one small file is dealt out to all cores."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 @functools.cache
 def tok(**how) -> Tokenizer:
     return toy.tokenizer(**how)
@@ -71,7 +77,7 @@ SQL_SHOW = "array_to_string({}, ' ')"
 
 @query(f"SELECT doc_id, len(ps) AS n_pieces, {SQL_MD5.format('ps')} AS pieces_md5 FROM (SELECT doc_id, {oracles.classic_pieces('text')} AS ps FROM documents)")
 def pretok_classic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", ByteLevel(False).raw_column(F.col("text")).alias("ps"))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", ByteLevel(False).raw_column(F.col("text")).alias("ps"))
     return d.select("doc_id", F.size("ps").cast("long").alias("n_pieces"), md5_list(F.col("ps")).alias("pieces_md5"))
 
 
@@ -135,12 +141,12 @@ SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(hex(encode(
 FROM documents, (SELECT {oracles.byte_char_list()} AS c)
 """)
 def bytelevel_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(encode_column(F.col("text"))).alias("shown_md5"))
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(encode_column(F.col("text"))).alias("shown_md5"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def bytelevel_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(decode_column(encode_column(F.col("text")))).alias("text_md5"))
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(decode_column(encode_column(F.col("text")))).alias("text_md5"))
 
 
 _ACUTE = "replace(replace(text, chr(233), 'e' || chr(769)), chr(243), 'o' || chr(769))"
@@ -149,7 +155,7 @@ _ACUTE = "replace(replace(text, chr(233), 'e' || chr(769)), chr(243), 'o' || chr
 @query(f"SELECT doc_id, md5(nfc_normalize({_ACUTE})) AS nfc_md5, strlen({_ACUTE}) - strlen(nfc_normalize({_ACUTE})) AS shrunk FROM documents")
 def nfc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = F.replace(F.replace("text", F.lit("\u00e9"), F.lit("e\u0301")), F.lit("\u00f3"), F.lit("o\u0301"))
-    d = table(spark, sf_dir, "documents").select("doc_id", apart.alias("t")).select("doc_id", "t", nfc(F.col("t")).alias("n"))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", apart.alias("t")).select("doc_id", "t", nfc(F.col("t")).alias("n"))
     return d.select("doc_id", F.md5("n").alias("nfc_md5"), (F.octet_length("t") - F.octet_length("n")).cast("long").alias("shrunk"))
 
 
@@ -184,32 +190,32 @@ def _benchmark(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 
 @query(f"WITH {_DOCS} SELECT doc_id, len(ids) AS n_tokens, md5({SQL_SHOW.format('ids')}) AS ids_md5 FROM enc")
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tok().encode("text").alias("ids"))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", tok().encode("text").alias("ids"))
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(show(F.col("ids"))).alias("ids_md5"))
 
 
 @query(f"WITH {_FUSED} SELECT doc_id, len(ids) AS n_tokens, md5({SQL_SHOW.format('ids')}) AS ids_md5 FROM enc")
 def encode_fused_ignore_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tok(fused=True, pattern=oracles.SIMPLE)
-    d = table(spark, sf_dir, "documents").select("doc_id", t.encode("text").alias("ids"))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", t.encode("text").alias("ids"))
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(show(F.col("ids"))).alias("ids_md5"))
 
 
 @query(f"WITH {_DOCS} SELECT lang, sum(len(ids))::BIGINT AS n_tokens FROM enc JOIN documents USING (doc_id) GROUP BY lang")
 def token_count_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set-wise: pieces are counted per language, distinct pieces encoded once."""
-    return tok().token_counts(table(spark, sf_dir, "documents"), "text", "lang")
+    return tok().token_counts(documents(spark, sf_dir, "lang", "text"), "text", "lang")
 
 
 @query(f"WITH {_DOCS} SELECT quality, toxic, count(*) AS n_docs, sum(len(ids))::BIGINT AS n_tokens FROM enc JOIN labels USING (doc_id) GROUP BY quality, toxic")
 def token_count_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("quality", "toxic", tok().count("text").alias("n"))
+    d = documents(spark, sf_dir, "doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id").select("quality", "toxic", tok().count("text").alias("n"))
     return d.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
 @query(f"WITH {_DOCS} SELECT token_id, count(*) AS n FROM (SELECT unnest(ids)::INT AS token_id FROM enc) GROUP BY token_id ORDER BY n DESC, token_id LIMIT 50")
 def token_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tok().token_frequencies(table(spark, sf_dir, "documents"), "text").orderBy(F.desc("n"), "token_id").limit(50)
+    return tok().token_frequencies(documents(spark, sf_dir, "text"), "text").orderBy(F.desc("n"), "token_id").limit(50)
 
 
 @query(f"""WITH {oracles.ids_cte("(SELECT page_id, unnest(range(len(g))) AS k, unnest(g) AS text, m FROM (SELECT page_id, regexp_split_to_array(html, '</title>|<title>|</p>|<p>') AS g, regexp_extract_all(html, '</title>|<title>|</p>|<p>') AS m FROM pages))", "page_id, k").replace("s.page_id, k,", "s.page_id, s.k, s.m,").replace("GROUP BY page_id, k)", "GROUP BY page_id, k)")}
@@ -226,7 +232,7 @@ def encode_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOCS} SELECT doc_id, md5(text) AS text_md5, len(ids) AS n_tokens FROM enc JOIN documents USING (doc_id)")
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tok().encode("text").alias("ids"))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", tok().encode("text").alias("ids"))
     return d.select("doc_id", F.md5(tok().decode("ids")).alias("text_md5"), F.size("ids").cast("long").alias("n_tokens"))
 
 
@@ -306,7 +312,7 @@ def adjust_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DOCS}, {_FUSED.replace('voc(', 'voc2(').replace('JOIN voc ', 'JOIN voc2 ').replace('cut AS', 'cut2 AS').replace('FROM cut)', 'FROM cut2)').replace('pc AS', 'pc2 AS').replace('FROM pc)', 'FROM pc2)').replace('dp AS', 'dp2 AS').replace('FROM dp ', 'FROM dp2 ').replace('pid AS', 'pid2 AS').replace('FROM pc JOIN pid ', 'FROM pc2 JOIN pid2 ').replace('agg AS', 'agg2 AS').replace('JOIN agg ', 'JOIN agg2 ').replace('enc AS', 'enc2 AS')} SELECT doc_id, len(list_filter(range(1, greatest(len(a.ids), len(b.ids)) + 1), lambda i: a.ids[i] IS DISTINCT FROM b.ids[i])) AS n_mismatched FROM enc a JOIN enc2 b USING (doc_id)")
 def mismatch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = tok(), tok(fused=True, pattern=oracles.SIMPLE)
-    d = table(spark, sf_dir, "documents").select("doc_id", a.encode("text").alias("a"), b.encode("text").alias("b"))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", a.encode("text").alias("a"), b.encode("text").alias("b"))
     return d.select("doc_id", shape.mismatches(F.col("a"), F.col("b")).cast("long").alias("n_mismatched"))
 
 
@@ -354,13 +360,13 @@ SELECT count(*) AS total, count(DISTINCT piece) AS distinct_pieces, sum(w)::BIGI
 FROM w, s
 """)
 def piece_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.explode(ByteLevel(False).raw_column(F.col("text"))).alias("piece"))
+    d = documents(spark, sf_dir, "text").select(F.explode(ByteLevel(False).raw_column(F.col("text"))).alias("piece"))
     return analytics.piece_stats(d.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query(f"WITH {_DOCS} SELECT count(*) AS n_inputs, sum(strlen(text))::BIGINT AS n_bytes, sum(len(ids))::BIGINT AS n_tokens FROM enc JOIN documents USING (doc_id)")
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("text", tok().count("text").alias("n"))
+    d = documents(spark, sf_dir, "text").select("text", tok().count("text").alias("n"))
     return analytics.totals(d, "text", "n")
 
 
@@ -369,7 +375,7 @@ WITH {_DOCS}, n AS (SELECT len(ids) AS n FROM enc)
 SELECT CASE {' '.join(f'WHEN n <= {e} THEN {e}' for e in analytics.BUCKETS)} END AS bucket, count(*) AS n, sum(n)::BIGINT AS n_tokens FROM n GROUP BY bucket
 """.replace("AS bucket, count(*) AS n, sum(n)::BIGINT AS n_tokens FROM n GROUP BY bucket", "AS bucket, count(*) AS n, sum(n)::BIGINT AS n_tokens FROM n GROUP BY 1"))
 def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(tok().count("text").alias("len"))
+    d = documents(spark, sf_dir, "text").select(tok().count("text").alias("len"))
     return analytics.length_buckets(d, "len")
 
 
@@ -469,16 +475,16 @@ def full(path: str | None = None) -> Tokenizer:
 
 @query()
 def encode_full_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", full().encode("text").alias("ids"))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", full().encode("text").alias("ids"))
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(show(F.col("ids"))).alias("ids_md5"))
 
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def decode_full_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", full().encode("text").alias("ids"))
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", full().encode("text").alias("ids"))
     return d.select("doc_id", F.md5(full().decode("ids")).alias("text_md5"))
 
 
 @query()
 def token_count_full_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full().token_counts(table(spark, sf_dir, "documents").select("lang", "text"), "text", "lang")
+    return full().token_counts(documents(spark, sf_dir, "lang", "text"), "text", "lang")
