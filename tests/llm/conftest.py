@@ -1,9 +1,7 @@
 import random
 
 import pytest
-
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, n string, size string, path string, _stat string"
-
+from rows import SCHEMA, make
 
 @pytest.fixture(scope="session")
 def texts():
@@ -37,11 +35,6 @@ def texts():
     return out
 
 
-def make(spark, texts, ids=None):
-    rows = [((i if ids is None else ids[i]), t, ("en", "fr", None)[i % 3], "src0" if i % 2 else f"src{i % 5}", None if t is None else len(t), -1, "n", "s", "p", "q") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, SCHEMA).repartition(3)
-
-
 @pytest.fixture(scope="session")
 def docs(spark, texts):
     """The texts with columns whose names clash with the operators' own."""

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import brute
-from conftest import make
+from rows import make
 from tokenloom.llm import exact
 from tokenloom.llm.fuse import FuseFilter
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import brute
-from conftest import make
+from rows import make
 from tokenloom.llm import jaccard as j
 from tokenloom.llm.components import components
 

@@ -6,7 +6,7 @@ import string
 import numpy as np
 
 import brute
-from conftest import make
+from rows import make
 from tokenloom.llm import secrets as s
 
 KEYS = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -32,7 +32,7 @@ def test_base_against_brute_force(docs, texts):
         assert r.base_sha256 == brute.sha(s.joined(want))
         assert set(s.joined(want).split(",")) <= set(r.spans.split(",")) or not want
         found += len(want)
-    assert found > 4
+    assert found == 4  # as planted: two assignments, an access key, a hex run
 
 
 def test_letters_in_either_case_are_ascii():

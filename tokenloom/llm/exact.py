@@ -200,16 +200,16 @@ def unique(docs: DataFrame, **how) -> DataFrame:
     g = written(groups(docs, **how), "verdicts")
     gone = g.groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("rows"))
     gone = written(gone.where("stay < rows"), "gone")
-    plain = gone.where("stay = 0").select(F.col("doc_id").alias("_gone"))
-    out = docs.join(checked_broadcast(plain), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    some = gone.where("stay > 0").select(F.col("doc_id").alias("_some"))
+    plain = gone.where("stay = 0").select(F.col("doc_id").alias("__x_gone"))
+    out = docs.join(checked_broadcast(plain), F.col("doc_id").eqNullSafe(F.col("__x_gone")), "left_anti")
+    some = gone.where("stay > 0").select(F.col("doc_id").alias("__x_some"))
     if some.isEmpty():
         return out
     # ids of which one row stays and others go: repeated rows, decided by their text
     some = checked_broadcast(some)
-    same = F.col("doc_id").eqNullSafe(F.col("_some"))
-    stay = g.where("kept").join(some, same, "left_semi").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("__x_some"))
+    stay = g.where("kept").join(some, same, "left_semi").select(F.col("doc_id").alias("__x_id"), F.unhex("text_sha256").alias("__x_digest"))
     norm = F.unhex(F.sha2(F.regexp_replace(empty_if_null("text"), r"[\x20\x09-\x0D]+", " "), 256))
-    once = out.join(some, same, "left_semi").withColumn("_digest0", norm).dropDuplicates(["doc_id", "_digest0"])
-    once = once.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest0") == F.col("_digest")), "left_semi").select(*docs.columns)
+    once = out.join(some, same, "left_semi").withColumn("__x_digest0", norm).dropDuplicates(["doc_id", "__x_digest0"])
+    once = once.join(stay, F.col("doc_id").eqNullSafe(F.col("__x_id")) & (F.col("__x_digest0") == F.col("__x_digest")), "left_semi").select(*docs.columns)
     return out.join(some, same, "left_anti").unionByName(once)

@@ -435,5 +435,5 @@ def one_of_each(docs: DataFrame, percent: int = 70) -> DataFrame:
     """The rows of ``docs`` without those that aren't the smallest id of their component.
     Repeated rows of an id that stays all stay: exact dedup comes first."""
     j = join(docs, percent)
-    gone = checked_broadcast(written(j.where("_k != _root").select(F.col("_k").alias("_gone")).distinct(), "gone"))
-    return docs.join(gone, _key() == F.col("_gone"), "left_anti")
+    gone = checked_broadcast(written(j.where("_k != _root").select(F.col("_k").alias("__x_gone")).distinct(), "gone"))
+    return docs.join(gone, _key() == F.col("__x_gone"), "left_anti")

@@ -355,7 +355,7 @@ def _drop_listed(keep: list[str], texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names
-            lists = b.column(names.index("_gone"))
+            lists = b.column(names.index("__x_gone"))
             for ch in tk.chunks(b.column(names.index("text"))):
                 starts, ends, first = tk.lines(ch)
                 gone = np.zeros(len(starts), bool)
@@ -376,12 +376,12 @@ def dedup(docs: DataFrame, keep: list[str], texts: bool, least: int = 10, shard_
     cols = list(dict.fromkeys([*keep, "doc_id", "text"]))
     if index.size <= memory:
         return docs.select(*cols).mapInArrow(_probe(index.folder, index.shards, least, keep, texts), schema)
-    rows = docs.select(*cols).withColumn("_uid", F.monotonically_increasing_id())
-    lines = rows.select("doc_id", "text", "_uid").mapInArrow(_numbered(least), "doc_id long, uid long, h1 long, h2 long, line long")
+    rows = docs.select(*cols).withColumn("__x_uid", F.monotonically_increasing_id())
+    lines = rows.select("doc_id", "text", "__x_uid").mapInArrow(_numbered(least), "doc_id long, uid long, h1 long, h2 long, line long")
     # Hot lines are a third of all rows at worst: their shard is salted over several tasks.
     spread = F.struct(F.pmod(F.col("h1"), F.lit(index.shards)).cast("int").alias("shard"), F.pmod(F.col("uid"), F.lit(16)).alias("salt"))
     lines = lines.select(spread.alias("_at"), "*").repartition(partitions(docs.sparkSession), "_at").select(F.col("_at.shard").alias("shard"), "doc_id", "uid", "h1", "h2", "line")
     gone = lines.sortWithinPartitions("shard").mapInArrow(_probe_sorted(index.folder), "uid long, line long")
-    gone = gone.groupBy("uid").agg(F.collect_list("line").alias("_gone"))  # a document's lines at most
-    both = rows.join(gone, rows["_uid"] == gone["uid"], "left").select(*cols, "_gone")
+    gone = gone.groupBy("uid").agg(F.collect_list("line").alias("__x_gone"))  # a document's lines at most
+    both = rows.join(gone, rows["__x_uid"] == gone["uid"], "left").select(*cols, "__x_gone")
     return both.mapInArrow(_drop_listed(keep, texts), schema)

@@ -102,7 +102,7 @@ def piece_model(path: str) -> PieceModel:
 
 
 def _uniform(key: np.ndarray, segment: np.ndarray, step: int) -> np.ndarray:
-    h = tk.mix(tk.mix(key + segment.astype(np.uint64) * tk.U(0x9FB21C651E98DF25)) + tk.U(step * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
+    h = tk.mix(tk.mix(key + (segment.astype(np.uint64) + tk.U(1)) * tk.U(0x9FB21C651E98DF25)) + tk.U((step + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
     return (h >> tk.U(11)).astype(np.float64) * 2.0**-53
 
 

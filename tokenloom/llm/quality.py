@@ -313,4 +313,7 @@ def keep_good(docs: DataFrame, tail: float = TAIL, **how) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns. Statistics are made
     anew in the scan that filters, so no text is shuffled."""
     judges = fit(written(with_stats(docs, ["lang", "source"]), "stats"), **how)
-    return judge(with_stats(docs, docs.columns), judges, chi2_quantile(1 - tail, P)).where("kept").select(*docs.columns)
+    names = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}  # no name can clash
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "lang", "source")
+    good = judge(with_stats(d, d.columns), judges, chi2_quantile(1 - tail, P)).where("kept")
+    return good.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -76,11 +76,10 @@ def rebalance(old: np.ndarray, sizes: np.ndarray, shards: int) -> np.ndarray:
             loose += mine.tolist()
             continue
         total = int(sizes[mine].sum())
-        for i in mine[::-1].tolist():  # smallest first: each move overshoots by little
-            if total - int(sizes[i]) < goal:
-                break
-            total -= int(sizes[i])
-            loose.append(i)
+        for i in mine.tolist():  # largest first: the fewest slots that bring it down
+            if int(sizes[i]) <= total - goal:
+                total -= int(sizes[i])
+                loose.append(i)
         load[s] = total
     heap = [(int(x), s) for s, x in enumerate(load)]
     heapq.heapify(heap)
