@@ -36,6 +36,11 @@ def word_ids(path: str) -> WordIds:
     return _OPEN[path]
 
 
+def forget() -> None:
+    """Give this process's encoders up, for stages of a worker that need its memory."""
+    _OPEN.clear()
+
+
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
 _PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 

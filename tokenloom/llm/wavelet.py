@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import empty_if_null, partitions, read_file, shared_dir, write_file, written
-from .tokencache import default_path, word_ids
+from .tokencache import default_path, forget, word_ids
 
-SHARD_TOKENS = 1 << 24
+SHARD_TOKENS = 1 << 23
 SAMPLE = 8  # words of 64 bits per rank sample
 _HEAD = struct.Struct("<4sIQQQQ")
 
@@ -47,12 +47,15 @@ class WaveletMatrix:
         bits = bits or max(1, int(ids.max(initial=0)).bit_length())
         planes, zeros, a = [], [], ids
         for shift in range(bits - 1, -1, -1):
-            one = (a >> shift & 1).astype(bool)
+            one = (a & a.dtype.type(1 << shift)).astype(bool)
             packed = np.packbits(one, bitorder="little")
             planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(np.uint64))
-            zero = a[~one]
-            zeros.append(len(zero))
-            a = np.concatenate([zero, a[one]])
+            z = len(a) - int(np.count_nonzero(one))
+            zeros.append(z)
+            b = np.empty_like(a)
+            b[:z] = a[~one]
+            b[z:] = a[one]
+            a = b
         return cls(len(ids), planes, zeros)
 
     @property
@@ -193,6 +196,7 @@ def _write(folder: str, base: dict[int, int], wide: bool, bits: int):
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shard, docs, parts = None, [], []
 
         def flush():
@@ -220,6 +224,7 @@ def _write(folder: str, base: dict[int, int], wide: bool, bits: int):
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
         for path in b.column(0).to_pylist():
             s = Shard.from_bytes(read_file(path))
