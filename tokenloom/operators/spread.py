@@ -13,5 +13,5 @@ def spread(df: DataFrame, small: int = SMALL) -> DataFrame:
     file of one row group would keep a single core busy with Python. Larger tables are
     left as they are scanned, so nothing is shuffled at scale."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * small else df
