@@ -108,3 +108,15 @@ def test_merging_and_adjusting(spark):
     assert len(rows) == 1 and rows[0].e.ids == t.engine.encode("the") + t.engine.encode("x") and rows[0].e.n_sequences == 2
     r = spark.range(1).select(shape.fitted(F.array(F.lit(1), F.lit(2)), 5).alias("a"), shape.fitted(F.array().cast("array<int>"), 5).alias("b")).first()
     assert r.a == [1, 2, 1, 2, 1] and r.b == []
+
+
+def test_pieces_with_added_tokens_stay_in_the_jvm(spark):
+    t = toy.tokenizer(added=True)
+    d = spark.createDataFrame([(0, "<p>the nation</p> é"), (1, "plain text"), (2, None), (3, ""), (4, "<p><p>")], "i int, text string")
+    df = d.select("i", "text", t.pieces("text").alias("p"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        assert r.p == (None if r.text is None else t.engine.pieces(r.text))
+    ids = {r.piece: r.ids for r in t.piece_table(df.select(F.explode("p").alias("piece"))).collect()}
+    for r in df.where("text is not null").collect():
+        assert [i for p in r.p for i in ids[p]] == t.engine.encode(r.text)

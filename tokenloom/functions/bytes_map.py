@@ -39,6 +39,14 @@ def decode_bytes(text: str) -> bytes:
     return bytes(out)
 
 
+_BACK = {ord(c): b for c, b in CHAR_TO_BYTE.items()}
+
+
+def raw_text(shown: str) -> str:
+    """The text of a string that ``encode_text`` made."""
+    return shown.translate(_BACK).encode("latin-1").decode()
+
+
 def decode_text(text: str) -> str:
     return decode_bytes(text).decode("utf-8", "replace")
 

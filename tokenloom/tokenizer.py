@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.bytes_map import raw_text
 from .operators import postproc, shape
 from .operators.engine import Engine
 from .operators.normalize import nfc
@@ -185,9 +186,19 @@ class Tokenizer:
 
     def native_pieces(self, text: Column) -> Column | None:
         """array<string> of shown pieces by JVM expressions (NFC alone is an Arrow function);
-        None where the tokenizer needs Python: added tokens, patterns the JVM cuts otherwise."""
-        if len(self.engine.added) or (self.engine.pretok is not None and not self.engine.pretok.native):
+        None where the tokenizer needs Python: patterns that the JVM cuts otherwise, or added
+        tokens before a normalizer."""
+        added = self.engine.added
+        if self.engine.pretok is not None and not self.engine.pretok.native:
             return None
+        if len(added):
+            if self.engine.normalizers or self.engine.pretok is None:
+                return None
+            names = F.create_map(*[F.lit(x) for kv in added.by_id.items() for x in kv])
+            cut = lambda x: F.when(x["token_id"].isNull(), self.engine.pretok.column(x["text"])).otherwise(F.array(F.element_at(names, x["token_id"])))
+            parts = F.flatten(F.transform(added.split_column(text), cut))
+            # most texts hold no added token: one look spares them the arrays of segments
+            return F.when(text.rlike(added.java_pattern()), parts).otherwise(self.engine.pretok.column(text))
         if self.engine.normalizers:
             text = nfc(text)
         if self.engine.pretok is None:
@@ -215,9 +226,7 @@ class Tokenizer:
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def ids(pieces: pa.Array) -> pa.Array:
-            e = shipped.engine()
-            one = lambda p: [e.added.by_content[p]] if p in e.added.by_content else _shown_ids(e, p)
-            return _lists([None if p is None else np.array(one(p), np.int32).tobytes() for p in pieces.to_pylist()])
+            return _lists(_shown_ids(shipped.engine(), pieces.to_pylist()))
 
         return ids(F.col(piece) if isinstance(piece, str) else piece)
 
@@ -310,12 +319,15 @@ class Tokenizer:
         return {t.id: t for t in self.spec.added_tokens}
 
 
-def _shown_ids(e: Engine, piece: str) -> list[int]:
-    if e.fused:
-        from .functions.bytes_map import decode_bytes
-
-        return e.model.encode_raw(decode_bytes(piece).decode())
-    return e.model.encode_chars(piece)
+def _shown_ids(e: Engine, pieces: list[str | None]) -> list[bytes | None]:
+    """Ids of shown pieces as uint32 bytes; they are encoded side by side."""
+    raw: dict[str, str | int] = {}
+    for p in pieces:
+        if p is not None and p not in raw:
+            i = e.added.by_content.get(p)
+            raw[p] = i if i is not None else raw_text(p) if e.raw else p
+    ids = e._learn(list(set(raw.values())))
+    return [None if p is None else ids[raw[p]] for p in pieces]
 
 
 _TABLES: dict[str, dict[int, bytes]] = {}
