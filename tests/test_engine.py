@@ -57,11 +57,11 @@ def test_orphans_and_branches():
 
 
 SPLITS = [
-    ("Removed", ["the", "final", "countdown"]),
-    ("Isolated", ["the", "-", "final", "-", "-", "countdown"]),
-    ("MergedWithPrevious", ["the-", "final-", "-", "countdown"]),
-    ("MergedWithNext", ["the", "-final", "-", "-countdown"]),
-    ("Contiguous", ["the", "-", "final", "--", "countdown"]),
+    ("Removed", "the|final|countdown".split("|")),
+    ("Isolated", "the|-|final|-|-|countdown".split("|")),
+    ("MergedWithPrevious", "the-|final-|-|countdown".split("|")),
+    ("MergedWithNext", "the|-final|-|-countdown".split("|")),
+    ("Contiguous", "the|-|final|--|countdown".split("|")),
 ]
 
 
@@ -73,20 +73,20 @@ def test_split_behaviours(how, pieces):
 @pytest.mark.parametrize(
     "p, how, inv, text, pieces",
     [
-        (r"\d+", "Removed", True, "abc123def456", ["123", "456"]),
-        (r"\d+", "Isolated", True, "abc123def456", ["abc", "123", "def", "456"]),
-        ("-", "Removed", False, "---", []),
-        ("-", "MergedWithPrevious", False, "-hello", ["-", "hello"]),
-        ("-", "MergedWithNext", False, "hello-", ["hello", "-"]),
-        (r"\[a\]", "Isolated", False, "a[a]b", ["a", "[a]", "b"]),
-        ("[a-c]", "Contiguous", False, "abcxabc", ["abc", "x", "abc"]),
-        ("[aeiou]+", "Contiguous", True, "hello", ["h", "e", "ll", "o"]),
-        (r"\s+", "MergedWithNext", False, "hello world test", ["hello", " world", " test"]),
-        ("x*", "Isolated", False, "axxb", ["a", "xx", "b"]),
+        (r"\d+", "Removed", True, "abc123def456", "123|456"),
+        (r"\d+", "Isolated", True, "abc123def456", "abc|123|def|456"),
+        ("-", "Removed", False, "---", ""),
+        ("-", "MergedWithPrevious", False, "-hello", "-|hello"),
+        ("-", "MergedWithNext", False, "hello-", "hello|-"),
+        (r"\[a\]", "Isolated", False, "a[a]b", "a|[a]|b"),
+        ("[a-c]", "Contiguous", False, "abcxabc", "abc|x|abc"),
+        ("[aeiou]+", "Contiguous", True, "hello", "h|e|ll|o"),
+        (r"\s+", "MergedWithNext", False, "hello world test", "hello| world| test"),
+        ("x*", "Isolated", False, "axxb", "a|xx|b"),
     ],
 )
 def test_splits(p, how, inv, text, pieces):
-    assert pretok.Split(p, how, inv).pieces(text) == pieces
+    assert pretok.Split(p, how, inv).pieces(text) == [x for x in pieces.split("|") if x]
 
 
 def test_split_errors_and_sequence():
@@ -94,7 +94,7 @@ def test_split_errors_and_sequence():
         with pytest.raises(TokenizerError):
             pretok.Split.from_config({"type": "Split", **bad})
     s = pretok.build({"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"\s+"}, "behavior": "Removed"}, {"type": "Split", "pattern": {"Regex": r"\d+"}}]})
-    assert s.pieces("hello 123world 456test") == ["hello", "123", "world", "456", "test"]
+    assert s.pieces("hello 123world 456test") == "hello 123 world 456 test".split()
 
 
 def test_splits_in_both_engines(spark):

@@ -61,7 +61,7 @@ class Engine:
             return [text] if text else []
         return p.raw(text) if self.raw else p.pieces(text)
 
-    # -- encode --------------------------------------------------------------------
+    # == encode ==
 
     def piece_ids(self, piece: str) -> list[int]:
         """Ids of one piece as ``cuts`` gives it."""
@@ -150,14 +150,14 @@ class Engine:
         ids = np.frombuffer(self.encode_bytes(text), np.uint32).tolist()
         return postproc.apply(self.templates, ids) if add_special_tokens else ids
 
-    # -- lookups -------------------------------------------------------------------
+    # == lookups ==
 
     @property
     def vocab_size(self) -> int:
         """Model and added tokens; a token in both counts twice."""
         return len(self.model.tokens) + len(self.added)
 
-    def token_to_id(self, token: str) -> int | None:
+    def token_to_id(self, token: str):
         i = self.added.by_content.get(token)
         return self.model.vocab.get(token) if i is None else i
 
@@ -168,14 +168,14 @@ class Engine:
     def vocab(self) -> dict[str, int]:
         return self.model.vocab | self.added.by_content
 
-    # -- decode --------------------------------------------------------------------
+    # == decode ==
 
     def token_bytes(self) -> dict[int, bytes]:
         """What each id adds to the bytes of a decoded text."""
         to = decode_bytes if self.byte_level else str.encode
         return {i: to(t) for i, t in enumerate(self.model.tokens)} | {i: to(t) for i, t in self.added.by_id.items()}
 
-    def decode(self, ids: list[int], skip_special_tokens: bool = False) -> str:
+    def decode(self, ids, skip_special_tokens=False) -> str:
         parts = []
         for i in ids:
             if skip_special_tokens and i in self.added.special_ids:
@@ -186,6 +186,6 @@ class Engine:
             parts.append(t)
         return self.decode_tokens(parts)
 
-    def decode_tokens(self, tokens: list[str]) -> str:
+    def decode_tokens(self, tokens) -> str:
         text = "".join(tokens)
         return decode_bytes(text).decode("utf-8", "replace") if self.byte_level else text

@@ -19,7 +19,8 @@ BEHAVIOURS = ("Removed", "Isolated", "MergedWithPrevious", "MergedWithNext", "Co
 _L, _N = r"\p{L}", r"\p{N}"
 _TAIL = (r"\s+(?!\S)", r"\s+")
 #: Contractions, letters, numbers, others (each with a space before it), white space.
-CLASSIC = "|".join((r"'(?i:[sdmt])", r"'(?i:ll|ve|re)", f" ?{_L}+", f" ?{_N}+", rf" ?[^\s{_L}{_N}]+", *_TAIL))
+_ENDINGS = ("[sdmt]", "ll|ve|re")
+CLASSIC = "|".join((*(f"'(?i:{e})" for e in _ENDINGS), f" ?{_L}+", f" ?{_N}+", rf" ?[^\s{_L}{_N}]+", *_TAIL))
 _SCRIPTS = ("Han", "Latin", "Greek", "Cyrillic", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Thai", "Devanagari")
 
 
@@ -54,7 +55,7 @@ class Split:
         key, value = next(iter(p.items()))
         return cls(regex.escape(value, special_only=True) if key == "String" else value, c.get("behavior", "Isolated"), c.get("invert", False))
 
-    def _zip(self, text: str) -> tuple[list[str], list[str]]:
+    def _zip(self, text: str):
         gaps, found, at = [], [], 0
         for m in self._find.finditer(text):
             if m.end() > m.start():

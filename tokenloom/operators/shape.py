@@ -59,7 +59,7 @@ def encoding_cut(e: Column, n: int, direction: str = "right") -> Column:
     return _each(e, lambda a, _: cut(a, n, direction))
 
 
-def encoding_padded(e: Column, target: Column | int, direction: str = "right", pad_id: int = 0, pad_type_id: int = 0) -> Column:
+def encoding_padded(e: Column, target: Column | int, pad_id: int = 0, *, pad_type_id: int = 0, direction: str = "right") -> Column:
     if direction not in ("right", "left"):
         raise TokenizerError(f"unknown direction: {direction}")
     target = F.lit(target) if isinstance(target, int) else target
@@ -70,7 +70,7 @@ def encoding_padded(e: Column, target: Column | int, direction: str = "right", p
 def padded(e: Column, p: Padding | None, longest: Column | None = None) -> Column:
     if p is None:
         return e
-    return encoding_padded(e, target_length(F.size(e["ids"]), p, longest), p.direction, p.pad_id, p.pad_type_id)
+    return encoding_padded(e, target_length(F.size(e["ids"]), p, longest), p.pad_id, pad_type_id=p.pad_type_id, direction=p.direction)
 
 
 def pad_batches(df: DataFrame, column: str, p: Padding, *batch: str) -> DataFrame:

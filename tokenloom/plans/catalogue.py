@@ -72,7 +72,7 @@ SQL_MD5 = "md5(array_to_string({}, chr(31)))"
 SQL_SHOW = "array_to_string({}, ' ')"
 
 
-# -- pre-tokenization ----------------------------------------------------------------
+# == pre-tokenization ==
 
 
 @query(f"SELECT doc_id, len(ps) AS n_pieces, {SQL_MD5.format('ps')} AS pieces_md5 FROM (SELECT doc_id, {oracles.classic_pieces('text')} AS ps FROM documents)")
@@ -176,7 +176,7 @@ def added_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", F.size(ids).cast("long").alias("n_tokens"), F.size(texts).cast("long").alias("n_texts"), show(ids).alias("token_ids"), md5_list(texts).alias("texts_md5"))
 
 
-# -- encode -----------------------------------------------------------------------------
+# == encode ==
 
 _DOCS = oracles.ids_cte("documents", "doc_id")
 _FUSED = oracles.ids_cte("documents", "doc_id", fused=True)
@@ -249,7 +249,7 @@ def decode_token_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("item_id", F.md5(tok().decode_tokens("tokens")).alias("text_md5"))
 
 
-# -- post-processing and shaping ---------------------------------------------------------
+# == post-processing and shaping ==
 
 
 @query(f"WITH {_BENCH} SELECT item_id, {SQL_SHOW.format(f'list_concat([{_N}], ids, [{_N + 1}])')} AS ids, 2 AS n_special FROM enc")
@@ -316,7 +316,7 @@ def mismatch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", shape.mismatches(F.col("a"), F.col("b")).cast("long").alias("n_mismatched"))
 
 
-# -- vocabulary ---------------------------------------------------------------------------
+# == vocabulary ==
 
 
 @query("SELECT token, id, special, added FROM (VALUES " + ", ".join(f"({oracles.quoted(t)}, {i}, {i >= _N and dict((c, s) for c, s in toy.ADDED).get(t, False)}, {i >= _N})" for t, i in [*toy.vocab().items(), *((c, _N + k) for k, (c, _) in enumerate(toy.ADDED))]) + ") t(token, id, special, added)")
@@ -349,7 +349,7 @@ def step_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted({k for t in toks for k in t.step_kinds()}), "stage string, kind string")
 
 
-# -- analytics ----------------------------------------------------------------------------
+# == analytics ==
 
 
 @query(f"""
@@ -424,7 +424,7 @@ def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("model", F.col("batch").cast("int").alias("batch"), F.col("length").cast("int").alias("length"))
 
 
-# -- SQL functions and streaming -------------------------------------------------------------
+# == SQL functions and streaming ==
 
 
 @query(f"WITH {_BENCH} SELECT item_id, {SQL_SHOW.format('ids')} AS ids, len(ids)::INT AS n, md5(text) AS back_md5 FROM enc JOIN benchmark USING (item_id)")
@@ -458,7 +458,7 @@ def stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("stream_id").agg(F.md5(text).alias("text_md5"))
 
 
-# -- a public vocabulary of full size ---------------------------------------------------------
+# == a public vocabulary of full size ==
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:

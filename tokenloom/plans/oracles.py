@@ -22,7 +22,8 @@ def classic_pieces(text: str) -> str:
     return f"list_filter(regexp_extract_all({marked}, {quoted(p)}), lambda x: x <> '{CUT}')"
 
 
-SIMPLE = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+_OTHER = r"\p{L}\p{N}"
+SIMPLE = "|".join((r" ?\p{L}+", r" ?\p{N}+", f" ?[^\\s{_OTHER}]+", r"\s+"))
 
 
 def simple_pieces(text: str) -> str:

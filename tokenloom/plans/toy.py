@@ -37,7 +37,7 @@ def spec(fused: bool = False, nfc: bool = False, added: bool = False, template:
     whole = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
     post = None
     if template:
-        post = {"type": "TemplateProcessing", "single": [{"SpecialToken": {"id": START, "type_id": 0}}, {"Sequence": {"id": "A", "type_id": 0}}, {"SpecialToken": {"id": STOP, "type_id": 0}}]}
+        post = {"type": "TemplateProcessing", "single": [dict(SpecialToken={"id": START}), dict(Sequence={"id": "A"}), dict(SpecialToken={"id": STOP})]}
         post["special_tokens"] = {s: {"id": s, "ids": [n + len(names) + i], "tokens": [s]} for i, s in enumerate((START, STOP))}
         extra += [{"id": n + len(names) + i, "content": s, "special": True} for i, s in enumerate((START, STOP))]
     return from_dict({

@@ -18,7 +18,7 @@ def write_measures(df: DataFrame, path: str) -> None:
 def save_vocabulary(vocab: dict[str, int], folder: str, prefix: str | None = None) -> str:
     """``{prefix-}vocab.json`` in a folder; returns its path."""
     os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"{prefix}-vocab.json" if prefix else "vocab.json")
+    path = os.path.join(folder, "-".join([*([prefix] if prefix else []), "vocab.json"]))
     with open(path, "w", encoding="utf-8") as f:
         json.dump(dict(sorted(vocab.items(), key=lambda x: x[1])), f, ensure_ascii=False)
     return path

@@ -95,7 +95,7 @@ class TokenizerSpec:
     def to_json(self, pretty: bool = False) -> str:
         return json.dumps(self.to_dict(), ensure_ascii=False, indent=2 if pretty else None)
 
-    def save(self, path: str, pretty: bool = True) -> None:
+    def save(self, path: str, *, pretty=True) -> None:
         with open(path, "w", encoding="utf-8") as f:
             f.write(self.to_json(pretty))
 
@@ -123,7 +123,7 @@ def from_dict(d: dict[str, Any]) -> TokenizerSpec:
     known = {"truncation", "padding", "added_tokens", "normalizer", "pre_tokenizer", "post_processor", "decoder", "model"}
     tokens = []
     for t in d.get("added_tokens") or []:
-        flags = {k: bool(t.get(k, False)) for k in ("special", "single_word", "lstrip", "rstrip", "normalized")}
+        flags = {k: bool(t.get(k, False)) for k in "normalized rstrip lstrip single_word special".split()}
         tokens.append(AddedToken(int(t["id"]), str(t["content"]), **flags))
     return TokenizerSpec(
         d["model"], d.get("normalizer"), d.get("pre_tokenizer"), d.get("post_processor"), d.get("decoder"), tokens,

@@ -87,7 +87,7 @@ class Tokenizer:
             self._shipped = _Shipped(self.spec)
         return self._shipped
 
-    # -- options: each gives a new tokenizer -------------------------------------------
+    # == options: each gives a new tokenizer ==
 
     def _with(self, **changes) -> Tokenizer:
         return Tokenizer(S.TokenizerSpec(**(self.spec.__dict__ | changes)))
@@ -105,8 +105,8 @@ class Tokenizer:
     def to_json(self, pretty: bool = False) -> str:
         return self.spec.to_json(pretty)
 
-    def save(self, path: str, pretty: bool = True) -> None:
-        self.spec.save(path, pretty)
+    def save(self, path: str, *, pretty=True) -> None:
+        self.spec.save(path, pretty=pretty)
 
     def describe(self) -> str:
         """One line per stage of the pipeline."""
@@ -132,7 +132,7 @@ class Tokenizer:
         out.add(("model", self.spec.model.get("type", "BPE")))
         return out
 
-    # -- row-wise ------------------------------------------------------------------------
+    # == row-wise ==
 
     def ids(self, text: Column | str) -> Column:
         """Ids of a text column without the post-processor; null in, null out."""
@@ -182,7 +182,7 @@ class Tokenizer:
         out = df.withColumn(column, e)
         return out if self.spec.padding is None else shape.pad_batches(out, column, self.spec.padding, *batch)
 
-    # -- set-wise ------------------------------------------------------------------------
+    # == set-wise ==
 
     def native_pieces(self, text: Column) -> Column | None:
         """array<string> of shown pieces by JVM expressions (NFC alone is an Arrow function);
@@ -252,7 +252,7 @@ class Tokenizer:
         ids = counted.select("n", F.explode(self.piece_ids("piece")).alias("token_id"))
         return ids.groupBy("token_id").agg(F.sum("n").alias("n"))
 
-    # -- decode ----------------------------------------------------------------------------
+    # == decode ==
 
     def decode(self, ids: Column | str, skip_special_tokens: bool = False) -> Column:
         """Text of an id array; an unknown id fails the query."""
@@ -288,7 +288,7 @@ class Tokenizer:
 
         return decode(F.col(tokens) if isinstance(tokens, str) else tokens)
 
-    # -- tables and lookups --------------------------------------------------------------
+    # == tables and lookups ==
 
     def vocab_table(self, spark: SparkSession) -> DataFrame:
         """(token, id, special, added) of all tokens, added ones instead of the model's."""
@@ -306,7 +306,7 @@ class Tokenizer:
     def vocab_size(self) -> int:
         return self.engine.vocab_size
 
-    def token_to_id(self, token: str) -> int | None:
+    def token_to_id(self, token: str):
         return self.engine.token_to_id(token)
 
     def id_to_token(self, i: int) -> str | None:
