@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .common import checked_broadcast, empty_if_null, partitions, read_file, shared_dir, write_file, written
 from .fuse import FuseFilter
+from .tokencache import forget
 
 SALT_ROWS = 1000
 SHARD_KEYS = 1 << 18
@@ -49,6 +50,7 @@ def normalised(ch: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 def _digest(keep: list[str], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for ch in tk.chunks(b.column(b.schema.get_field_index("text"))):
                 buf, offs = normalised(ch)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .common import checked_broadcast, partitions, written
 from .components import components, local_roots
+from .tokencache import forget
 
 ROWS, BANDS = 4, 96
 BLOCK = 1 << 20
@@ -95,6 +96,7 @@ def band_keys(g: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
         for ch in tk.chunks(b.column(1)):
             g, offs = shingle_sets(ch)
@@ -300,6 +302,7 @@ def links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, pe
 def _group_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of groups to their sets; rows whose text is another one's (ids that repeat)
     are left out by the set's name."""
+    forget()
     for b in batches:
         for ch in tk.chunks(b.column(0)):
             g, offs = shingle_sets(ch)

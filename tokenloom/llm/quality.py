@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import checked_broadcast, written
+from .tokencache import forget
 
 UNIT = 1024
 DIMS = ("symbols", "word_length", "upper", "punctuation", "dup_lines", "repeats", "digits")
@@ -110,15 +111,14 @@ def chunk_stats(ch: tk.Chunk) -> dict[str, np.ndarray]:
 
 def _with_stats(text: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
-            at = 0
             col = b.column(b.schema.get_field_index(text))
             for ch in tk.chunks(col):
                 s = chunk_stats(ch)
                 part = b.slice(ch.lo, ch.n)
                 arrays = [part.column(part.schema.get_field_index(k)) for k in keep]
                 arrays.append(pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in s.values()], list(s)))
-                at += ch.n
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, STAT])
 
     return run

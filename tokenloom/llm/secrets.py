@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import written
+from .tokencache import forget
 
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -157,6 +158,7 @@ _CAND = pa.list_(pa.int32())
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
         for ch in tk.chunks(b.column(1)):
             has_hex = _long_runs(IN_HEX[ch.buf], ch.offs, 24).tolist()
@@ -230,6 +232,7 @@ def scan(docs: DataFrame, q: float = Q) -> DataFrame:
 
 def _redact(bar: np.ndarray, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             at, out = b.schema.names.index("text"), []
             for text in b.column(at).to_pylist():

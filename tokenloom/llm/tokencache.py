@@ -12,12 +12,15 @@ texts where this doesn't hold. Full memories are emptied; results never depend o
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 _OPEN: dict[str, WordIds] = {}
 
@@ -37,8 +40,16 @@ def word_ids(path: str) -> WordIds:
 
 
 def forget() -> None:
-    """Give this process's encoders up, for stages of a worker that need its memory."""
-    _OPEN.clear()
+    """Give this process's encoders up, and their memory back to the machine: for stages of
+    a worker that has tokenised before and won't now."""
+    if _OPEN:
+        _OPEN.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
 
 
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
@@ -54,7 +65,7 @@ def _byte_chars() -> dict[int, int]:
 class WordIds:
     """Encode texts as uint32 ids."""
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
