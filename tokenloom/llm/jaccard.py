@@ -162,7 +162,7 @@ def _sorted_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
 
 
-# -- signature trees -----------------------------------------------------------------
+# == signature trees ==
 
 
 def need(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:

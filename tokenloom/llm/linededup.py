@@ -42,7 +42,7 @@ _SALT = tk.mix(np.arange(1, 257, dtype=np.uint64) * tk.U(0xC2B2AE3D27D4EB4F))
 VAL2_LOWER = _SALT[tk.LOWER]
 
 
-# -- the minimal perfect hash ------------------------------------------------------
+# == the minimal perfect hash ==
 
 
 class PerfectHash:
@@ -159,7 +159,7 @@ class LineShard:
         return s
 
 
-# -- lines -------------------------------------------------------------------------
+# == lines ==
 
 
 def line_keys(ch: tk.Chunk, least: int):

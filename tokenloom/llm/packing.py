@@ -69,7 +69,7 @@ def _tokenise(path: str, end: int, window: int, wide: bool):
     return run
 
 
-# -- the plan --------------------------------------------------------------------
+# == the plan ==
 
 
 def combinations(hist: np.ndarray, window: int, common: int = 96) -> np.ndarray:

@@ -140,7 +140,7 @@ def base_failed(s: str = STAT, min_words: int = 50, repeat_percent: int = 50) ->
     return (w < min_words) | (100 * F.col(f"{s}.n_repeat_words") > repeat_percent * w)
 
 
-# -- chi-squared ---------------------------------------------------------------
+# == chi-squared ==
 
 
 def chi2_cdf(x: float, k: float) -> float:
@@ -170,7 +170,7 @@ def consistency(fraction: float, k: int) -> float:
     return fraction / chi2_cdf(chi2_quantile(fraction, k), k + 2) if fraction < 1 else 1.0
 
 
-# -- the estimates ---------------------------------------------------------------
+# == the estimates ==
 
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _PAR = [*(f"m{i}" for i in range(P)), *(f"k{i}_{j}" for i, j in _PAIRS), "logdet"]

@@ -52,7 +52,8 @@ def forget() -> None:
             pass
 
 
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+_ENDINGS = "|".join("'" + x for x in "s t re ve m ll d".split())
+_PIECES = re.compile(_ENDINGS + r"|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
 _PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
@@ -88,7 +89,7 @@ class WordIds:
             and (norm[1]["pattern"], norm[1]["content"]) == ({"Regex": r"\s+"}, " ")
             and [p.get("type") for p in pre] == ["Split", "ByteLevel"]
             and (pre[0].get("behavior"), pre[0].get("invert")) == ("Removed", True)
-            and pre[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+            and pre[0]["pattern"] == {"Regex": _ENDINGS + "|".join(("", r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}" + r"\p{N}]+"))}
             and not pre[1].get("add_prefix_space")
             and not pre[1].get("use_regex", True)
             and j.get("post_processor") is None
