@@ -145,7 +145,7 @@ def template(single, special):
     return postproc.build({"type": "TemplateProcessing", "single": single, "special_tokens": special})
 
 
-A = {"Sequence": {"id": "A", "type_id": 0}}
+A = {"Sequence": {"type_id": 0, "id": "A"}}
 
 
 def special(k):

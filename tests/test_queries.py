@@ -33,5 +33,6 @@ def test_full_vocabulary_against_the_library(spark, sf_dir):
         assert r.ids == lib.encode(r.text, add_special_tokens=False).ids
         assert r.n == len(r.ids)
         counts[r.lang] = counts.get(r.lang, 0) + r.n
-    by_set = catalogue.token_count_full_vocabulary(spark, sf_dir).collect()
+    assert {r.lang: r.n_tokens for r in catalogue.token_count_full_vocabulary(spark, sf_dir).collect()} == counts
+    by_set = tok.token_counts(docs, "text", "lang").collect()
     assert {r.lang: r.n_tokens for r in by_set} == counts

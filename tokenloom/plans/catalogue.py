@@ -203,7 +203,12 @@ def encode_fused_ignore_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOCS} SELECT lang, sum(len(ids))::BIGINT AS n_tokens FROM enc JOIN documents USING (doc_id) GROUP BY lang")
 def token_count_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set-wise: pieces are counted per language, distinct pieces encoded once."""
+    return tok().total_counts(documents(spark, sf_dir, "lang", "text"), "text", "lang")
+
+
+@query(ORACLES["token_count_by_lang"])
+def token_count_set_wise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces are counted per language, distinct pieces encoded once."""
     return tok().token_counts(documents(spark, sf_dir, "lang", "text"), "text", "lang")
 
 
@@ -487,4 +492,4 @@ def decode_full_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_count_full_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full().token_counts(documents(spark, sf_dir, "lang", "text"), "text", "lang")
+    return full().total_counts(documents(spark, sf_dir, "lang", "text"), "text", "lang")
