@@ -34,9 +34,11 @@ def test_files(spark, docs, texts, shard_tokens):
         assert s.matrix.access(len(part) - 1) == 2 and s.matrix.count(2) == (part == 2).sum()
 
 
-def test_edges(odd, empty):
+@pytest.mark.parametrize("shard_tokens", [1 << 23, 100])
+def test_edges(spark, odd, empty, shard_tokens):
     assert w.round_trip(empty).collect() == []
-    rows = sorted(w.round_trip(odd).collect(), key=lambda r: r.start)
+    odd = odd.unionByName(odd.where("doc_id is null or doc_id = 1")).unionByName(odd.where("doc_id is null or doc_id = 1"))
+    rows = sorted(w.read_tokens(w.write_tokens(odd, shared_dir(spark), shard_tokens=shard_tokens)).collect(), key=lambda r: r.start)
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
     ids = [r.doc_id for r in rows]
     known = [i for i in ids if i is not None]

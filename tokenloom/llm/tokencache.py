@@ -66,11 +66,11 @@ def _byte_chars() -> dict[int, int]:
 class WordIds:
     """Encode texts as uint32 ids."""
 
-    def __init__(self, path: str, memory: int = 250_000):
+    def __init__(self, path: str, memory: int = 400_000, pieces: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.path, self.limit = path, memory
+        self.path, self.limit, self.piece_limit = path, memory, pieces
         self.tok = Tokenizer.from_file(path)
         self.by_word = self._check(path)
         self.words: dict[bytes, bytes] = {}
@@ -103,7 +103,7 @@ class WordIds:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= self.limit:
+            if len(self.pieces) >= self.piece_limit:
                 self.pieces.clear()
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
             self.pieces[piece] = ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()

@@ -10,7 +10,8 @@ access (the id at a position), rank and count (occurrences of an id in a range),
 (position of its k-th occurrence) and gives whole documents back.
 
 Cases: null or empty text is its end id alone; rows without a doc_id come last; repeated
-ids follow each other in any order; an empty table writes no file. A document longer than
+ids follow each other in any order (a hot id, or many rows without one, fill several
+shards); an empty table writes no file. A document longer than
 ``shard_tokens`` makes its shard longer. Further columns aren't looked at.
 """
 
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import empty_if_null, partitions, read_file, shared_dir, write_file, written
+from .common import checked_broadcast, empty_if_null, partitions, read_file, shared_dir, write_file, written
 from .tokencache import default_path, forget, word_ids
 
 SHARD_TOKENS = 1 << 23
@@ -192,29 +193,29 @@ def _tokenise(path: str, end: int, wide: bool):
     return run
 
 
-def _write(folder: str, base: dict[int, int], wide: bool, bits: int):
+def _write(folder: str, wide: bool, bits: int):
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        shard, docs, parts = None, [], []
+        shard, base, docs, parts = None, 0, [], []
 
         def flush():
             ids = np.frombuffer(b"".join(parts), kind)
             parts.clear()
             known = np.array([d for d, _ in docs if d is not None], np.int64)
-            s = Shard(base[shard], np.concatenate([known, np.zeros(len(docs) - len(known), np.int64)]), len(docs) - len(known), np.array([n for _, n in docs], np.int64), WaveletMatrix.build(ids, bits))
+            s = Shard(base, np.concatenate([known, np.zeros(len(docs) - len(known), np.int64)]), len(docs) - len(known), np.array([n for _, n in docs], np.int64), WaveletMatrix.build(ids, bits))
             path = f"{folder}/tokens-{shard:06d}.wmx"
             data = s.to_bytes()
             write_file(path, data)
             return pa.RecordBatch.from_pydict({"path": pa.array([path]), "size": pa.array([len(data)], pa.int64())})
 
         for b in batches:
-            for k, d, n, ids in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for k, at, d, n, ids in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if k != shard:
                     if docs:
                         yield flush()
-                    shard, docs = k, []
+                    shard, base, docs = k, at, []
                 docs.append((d, n))
                 parts.append(ids)
         if docs:
@@ -244,7 +245,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     spark, path = docs.sparkSession, path or default_path()
     vocab = max(word_ids(path).tok.get_vocab_size(), end + 1)
     wide = vocab > 1 << 16
-    t = written(docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(_tokenise(path, end, wide), "doc_id long, n long, ids binary"), "tokens")
+    t = written(docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(_tokenise(path, end, wide), "doc_id long, n long, ids binary").withColumn("uid", F.monotonically_increasing_id()), "tokens")
     total = t.agg(F.sum("n")).first()[0] or 0
     ranges = 4 * max(1, -(-total // shard_tokens))
     cuts = t.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
@@ -258,19 +259,22 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
         of = F.pandas_udf(lambda x: x.map(lambda v: int(np.searchsorted(shared.value, v))).astype("int32"), "int")(F.coalesce("doc_id", F.lit(0)))
     none = len(cuts) + 1
     t = t.withColumn("range", F.when(F.col("doc_id").isNull(), none).otherwise(of).cast("int"))
-    sums = dict(t.groupBy("range").agg(F.sum("n")).collect())  # one row a range
-    shard_of, base, shard, held, before = {}, {}, -1, shard_tokens, 0
-    for r in sorted(sums):
-        if held + sums[r] > shard_tokens:
-            shard, held = shard + 1, 0
-            base[shard] = before
-        shard_of[r] = shard
-        held += sums[r]
-        before += sums[r]
-    pairs = spark.createDataFrame([(r, s) for r, s in shard_of.items()], "range int, shard int")
-    rows = t.join(F.broadcast(pairs), "range").select("shard", "doc_id", "n", "ids")  # one row a range
-    rows = rows.repartition(max(1, min(len(base), 4 * partitions(spark))), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last())
-    return written(rows.mapInArrow(_write(folder, base, wide, (vocab - 1).bit_length()), "path string, size long"), "files")
+    t = t.withColumn("part", F.lit(0))
+    # A range of one id (or of none) may be of any size; its rows have no order to keep.
+    size = t.groupBy("range").agg(F.sum("n").alias("s"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    hot = written(size.where("lo <=> hi").where(F.col("s") > shard_tokens).select("range", F.ceil(F.col("s") / shard_tokens).alias("parts")), "hot")
+    if not hot.isEmpty():
+        t = t.join(checked_broadcast(hot), "range", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("parts")), F.lit(0)).cast("int"))
+    sums = written(t.groupBy("range", "part").agg(F.sum("n").alias("s")), "ranges")
+    before = sums.select("range", "part", (F.sum("s").over(Window.orderBy("range", "part")) - F.col("s")).alias("before"))  # three numbers a range
+    shards = before.withColumn("shard", F.floor(F.col("before") / shard_tokens).cast("int"))
+    shards = written(shards.withColumn("base", F.min("before").over(Window.partitionBy("shard"))).drop("before"), "shards")
+    count = shards.agg(F.count_distinct("shard")).first()[0]
+    rows = t.join(checked_broadcast(shards), ["range", "part"]).select("shard", "base", "doc_id", "n", "ids")
+    # shards are dealt out one after the other, not by hash: no task gets several while others wait
+    parts = max(1, min(count, 4 * partitions(spark)))
+    rows = rows.repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last())
+    return written(rows.mapInArrow(_write(folder, wide, (vocab - 1).bit_length()), "path string, size long"), "files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
