@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, open_fs, shared_dir, write_file, written
+from .common import checked_broadcast, read_file, shared_dir, write_file, written
 
 SEGMENT = 16 << 10
 CHUNK = 8 << 10
@@ -136,32 +136,54 @@ def _write(folder: str, segment: int, archive: int):
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[dict] = []
-    held = 0
-    for b in batches:
-        for path in b.column(0).to_pylist():
-            fs, name = open_fs(path)
-            with fs.open_input_stream(name, compression=None) as f:
-                data = f.read()
-            for h, block in parse(data):
-                more = h["warc-type"] == "continuation"
-                total = h.get("warc-segment-total-length")
-                ref = h.get("x-refers-to")
-                out.append({
-                    "origin": h["warc-segment-origin-id"] if more else h["warc-record-id"],
-                    "number": int(h["warc-segment-number"]) if "warc-segment-number" in h else None,
-                    "total": int(total) if total else None, "page_id": int(h["x-page-id"]) if h.get("x-page-id") else None,
-                    "record_type": None if more else h["warc-type"], "refers_to": int(ref) if ref else None,
-                    "digest": h.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-                    "length": int(h["x-payload-length"]) if "x-payload-length" in h else None, "block": block,
-                })
-                held += len(block)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(out, RECORD)
-                    out, held = [], 0
-    if out:
-        yield pa.RecordBatch.from_pylist(out, RECORD)
+def _finished(r: dict) -> tuple[int, str, bytes | None]:
+    """Payload length, digest and payload of a whole record, verified."""
+    block = r["block"]
+    if r["record_type"] == "revisit":
+        return r["length"], r["digest"], None
+    if r["total"] is not None and len(block) != r["total"]:
+        raise ValueError(f"record {r['origin']}: {len(block)} bytes of {r['total']}")
+    head, _, body = block.partition(b"\r\n\r\n")
+    payload = dechunked(body) if b"chunked" in head.lower() else body
+    digest = hashlib.sha256(payload).hexdigest()
+    if r["digest"] and r["digest"] != digest:
+        raise ValueError(f"record {r['origin']}: payload of another digest")
+    return len(payload), digest, payload
+
+
+def _read(payloads: bool):
+    """Records of archives: those of one segment are finished (their block is the payload, or
+    nothing unless payloads are asked for), segments of others have their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        held = 0
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                for h, block in parse(read_file(path)):
+                    more = h["warc-type"] == "continuation"
+                    total = h.get("warc-segment-total-length")
+                    ref = h.get("x-refers-to")
+                    r = {
+                        "origin": h["warc-segment-origin-id"] if more else h["warc-record-id"],
+                        "number": int(h["warc-segment-number"]) if "warc-segment-number" in h else None,
+                        "total": int(total) if total else None, "page_id": int(h["x-page-id"]) if h.get("x-page-id") else None,
+                        "record_type": None if more else h["warc-type"], "refers_to": int(ref) if ref else None,
+                        "digest": h.get("warc-payload-digest", "").removeprefix("sha256:") or None,
+                        "length": int(h["x-payload-length"]) if "x-payload-length" in h else None, "block": block,
+                    }
+                    if r["number"] is None:
+                        r["length"], r["digest"], payload = _finished(r)
+                        r["block"] = payload if payloads else None
+                    out.append(r)
+                    held += 300 + len(r["block"] or b"")
+                    if held > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(out, RECORD)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, RECORD)
+
+    return run
 
 
 RECORD = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("block", pa.binary())])
@@ -169,23 +191,13 @@ _RECORD = "origin string, number int, total long, page_id long, record_type stri
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def _payload(with_payload: bool):
+def _payload(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                block, payload = r["block"], None
-                if r["record_type"] == "revisit":
-                    n, digest = r["length"], r["digest"]
-                else:
-                    if r["total"] is not None and len(block) != r["total"]:
-                        raise ValueError(f"record {r['origin']}: {len(block)} bytes of {r['total']}")
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    payload = dechunked(body) if b"chunked" in head.lower() else body
-                    n, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                    if r["digest"] and r["digest"] != digest:
-                        raise ValueError(f"record {r['origin']}: payload of another digest")
-                rows.append((r["page_id"], n, digest, r["record_type"], r["refers_to"], payload if with_payload else None))
+                n, digest, payload = _finished(r)
+                rows.append((r["page_id"], n, digest, r["record_type"], r["refers_to"], payload if payloads else None))
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
@@ -223,8 +235,10 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     payload itself only if asked for."""
     paths = archives.select("path")
     n = max(1, min(paths.count(), 1 << 16))
-    parts = written(paths.repartition(n, "path").mapInArrow(_read, _RECORD), "records")
-    whole = parts.where("number is null")
+    parts = written(paths.repartition(n, "path").mapInArrow(_read(payloads), _RECORD), "records")
+    whole = parts.where("number is null").select(
+        "page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", F.col("block").alias("payload")
+    )
     seg = parts.where("number is not null").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("s"), F.max("total").alias("total"),
         *[F.max(c).alias(c) for c in ("page_id", "record_type", "refers_to", "digest", "length")],
@@ -233,7 +247,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     ok = F.when(gapless, F.lit(None).cast("string")).otherwise(F.raise_error(F.concat(F.lit("missing segment of "), "origin")))
     joined = F.aggregate("s", F.lit(b""), lambda acc, x: F.concat(acc, x["block"]))
     seg = seg.where(ok.isNull()).select("origin", F.lit(1).alias("number"), "total", "page_id", "record_type", "refers_to", "digest", "length", joined.alias("block"))
-    return whole.unionByName(seg).mapInArrow(_payload(payloads), OUT)
+    return whole.unionByName(seg.mapInArrow(_payload(payloads), OUT))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
