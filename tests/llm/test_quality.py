@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -71,6 +73,26 @@ def test_junk_goes_and_clean_stays(spark):
     assert n.get((0, True), 0) == 0 and n.get((1, False), 0) == 0 and n[(0, False)] > 0
 
 
+def test_each_statistic_alone_rejects(spark):
+    """Digits only, repeated lines, and a repeated passage below the base rule's half."""
+    rng = random.Random(3)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    clean = d.join(labels, "doc_id").where("lang = 'en'").orderBy("doc_id").limit(60).collect()
+    w = list(dict.fromkeys(" ".join(r.text for r in clean).split()))[:600]
+    words = rng.sample([x for x in w if x.isalpha() and 4 <= len(x) <= 6], 40)
+    planted = {
+        "digits": " ".join(map(str, rng.sample(range(10_000, 100_000), 400))),
+        "dup_lines": "\n".join(rng.choices(words, k=400)),
+        "repeats": " ".join(w[:97] + w[100:300] + w[:97]),
+        "prose": " ".join(w[:400]),
+    }
+    more = spark.createDataFrame([(-1 - i, t, "en", clean[0].source) for i, t in enumerate(planted.values())], d.schema)
+    got = rows(q.rules(d.unionByName(more)))
+    assert not any(got[-1 - i].base_failed for i in range(4))
+    assert {k: got[-1 - i].kept for i, k in enumerate(planted)} == {"digits": False, "dup_lines": False, "repeats": False, "prose": True}
+
+
 def test_edge_tables(spark, docs, empty, odd, texts):
     assert q.rules(empty).collect() == [] and q.keep_good(empty).collect() == []
     assert q.rules(odd).count() == odd.count()
