@@ -47,6 +47,17 @@ def test_edges(odd, empty):
     assert any(r.doc_id is None and r.component_id == 0 for r in rows)
 
 
+@pytest.mark.parametrize("how", [{}, {"block": 200, "one_task": 0}])
+def test_other_texts_under_one_id(spark, how):
+    rng = random.Random(8)
+    base = [rng.choices([f"w{i}" for i in range(3000)], k=90) for _ in range(3)]
+    near = lambda i, k: " ".join([*base[i][:-k], *[f"z{k}"] * k])
+    texts = [near(0, 1), near(1, 1), near(0, 2), near(1, 2), near(0, 3), near(2, 1), near(2, 2)]
+    ids = [5, 5, 7, 3, 9, 20, 20]
+    rows = j.join(make(spark, texts, ids), **how).select("doc_id", "n_similar", "component_id").collect()
+    assert sorted(map(tuple, rows)) == [(3, 1, 3), (5, 1, 3), (5, 2, 5), (7, 2, 5), (9, 2, 5), (20, 1, 20), (20, 1, 20)]
+
+
 def test_one_of_each(docs, texts):
     kept = j.one_of_each(docs)
     assert kept.columns == docs.columns

@@ -321,7 +321,7 @@ def _join_runs(percent: int):
         rows = list(seen.values())
         if len(rows) < 2:
             return None
-        rep, n, m = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
+        node, n, m = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
         side = np.array([bool(r[3]) for r in rows]) if rows[0][1] != rows[0][2] else None
         i, j = links([np.frombuffer(r[7], np.uint64) for r in rows], n, side, percent)
         if not len(i):
@@ -329,8 +329,8 @@ def _join_runs(percent: int):
         deg = np.zeros(len(rows), np.int64)
         np.add.at(deg, i, m[j])
         np.add.at(deg, j, m[i])
-        nodes, root = local_roots(rep[i], rep[j])
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(deg[np.argsort(rep)[np.searchsorted(np.sort(rep), nodes)]])], ["a", "b", "links"])
+        nodes, root = local_roots(node[i], node[j])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(deg[np.argsort(node)[np.searchsorted(np.sort(node), nodes)]])], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out = None, [], []
@@ -358,7 +358,7 @@ def _key() -> Column:
 
 
 def _tasks(members: DataFrame, block: int) -> DataFrame:
-    """``members`` (comp, rep, n, ...) with the traversals (i, j, side) that they take part in."""
+    """``members`` (comp, node, n, ...) with the traversals (i, j, side) that they take part in."""
     sizes = members.groupBy("comp").agg(F.sum("n").alias("total"))
     big = written(sizes.where(F.col("total") > block).select("comp"), "big")
     zero = [F.lit(0).cast("long").alias(c) for c in ("i", "j")]
@@ -371,7 +371,7 @@ def _tasks(members: DataFrame, block: int) -> DataFrame:
     subs = large.groupBy("comp", "o").agg(F.ceil(F.sum("n") / block).alias("subs"))
     subs = written(subs, "subs")
     large = large.join(checked_broadcast(subs), ["comp", "o"])
-    large = large.withColumn("at", F.col("o") * (1 << 32) + F.pmod(F.xxhash64("rep"), F.col("subs"))).drop("subs")
+    large = large.withColumn("at", F.col("o") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("subs"))).drop("subs")
     blocks = subs.select("comp", "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("s")).select("comp", "o", (F.col("o") * (1 << 32) + F.col("s")).alias("at"))
     other = blocks.select("comp", F.col("o").alias("o2"), F.col("at").alias("at2"))
     # sizes of a link differ by a factor of 10/7 at most: less than 4.2 eighths of an octave
@@ -395,20 +395,33 @@ def join(docs: DataFrame, percent: int = 70, block: int = BLOCK, one_task: int |
     heads = stars.where("not edge").select("x", "y").repartition(partitions(docs.sparkSession), "x").sortWithinPartitions("x", "y")
     edges = stars.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(heads.mapInArrow(_sorted_stars, "a long, b long"))
     groups = components(written(edges.distinct(), "edges"), **how)
+    # An id has no edge to itself: where it repeats, its rows are a group at least.
+    again = sets.where("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("k").alias("node"), F.col("k").alias("root"))
+    groups = written(groups.select("node", "root").unionByName(again.join(groups, "node", "left_anti")), "groups")
     rows = sets.select("k", "n", "sa", "sb").join(checked_broadcast(groups.select(F.col("node").alias("k"), F.col("root").alias("comp"))), "k")
-    # Repeated ids of other texts meet here under one node; the set's name keeps them apart.
+    # Repeated ids of other texts meet here under one k; the set's name keeps them apart.
     classes = rows.groupBy("comp", "sa", "sb", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m"))
-    classes = written(classes, "classes")
+    classes = written(classes, "named")
+    clash = written(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep"), "clash")
+    clashes = not clash.isEmpty()
+    node = F.col("rep")
+    if clashes:  # classes that share a rep get nodes of their own
+        classes = classes.join(checked_broadcast(clash.withColumn("shared", F.lit(True))), "rep", "left")
+        node = F.when(F.col("shared"), F.xxhash64("rep", "sa", "sb", "n")).otherwise(node)
+    classes = written(classes.select("comp", "sa", "sb", "n", "rep", "m", node.alias("node")), "classes")
     several = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("comp")
-    members = written(classes.join(checked_broadcast(written(several, "several")), "comp", "left_semi").select("comp", "sa", "sb", "rep", "n", "m"), "members")
+    members = written(classes.join(checked_broadcast(written(several, "several")), "comp", "left_semi").select("comp", "sa", "sb", "rep", "node", "n", "m"), "members")
     found = keyed.select("k", "text").join(checked_broadcast(members), F.col("k") == F.col("rep"))
-    tokens = found.select("text", "sa", "sb", "comp", "rep", "n", "m").mapInArrow(_group_sets, "comp long, rep long, n long, m long, tokens binary")
+    tokens = found.select("text", "sa", "sb", "comp", "node", "n", "m").mapInArrow(_group_sets, "comp long, node long, n long, m long, tokens binary")
     spread = _tasks_with_tokens(tokens, members, block)
     spread = spread.repartition(4 * partitions(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     found = written(spread.mapInArrow(_join_runs(percent), "a long, b long, links long"), "links")
     degree = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.select("a", "b"), **how)
-    out = classes.select("comp", "sa", "sb", "n", "rep", "m").join(degree, F.col("rep") == F.col("a"), "left").drop("a").join(roots, F.col("rep") == F.col("node"), "left")
+    if clashes:  # the root of a component is the smallest id of its classes, not of its nodes
+        roots = classes.select("node", "rep").join(roots, "node")
+        roots = roots.select("node", "root").join(roots.groupBy("root").agg(F.min("rep").alias("low")), "root").select("node", F.col("low").alias("root"))
+    out = classes.join(degree, F.col("node") == F.col("a"), "left").drop("a").join(roots, "node", "left")
     out = written(out.select("comp", "sa", "sb", "n", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("root", "rep").alias("root")), "answers")
     by_doc = rows.join(out, ["comp", "sa", "sb", "n"]).select("k", "sa", "sb", "n_similar", "root").distinct()
     by_doc = checked_broadcast(written(by_doc, "by_doc"))
@@ -422,11 +435,11 @@ def join(docs: DataFrame, percent: int = 70, block: int = BLOCK, one_task: int |
 
 def _tasks_with_tokens(tokens: DataFrame, members: DataFrame, block: int) -> DataFrame:
     """The sets with their traversals; sizes are taken from the narrow table."""
-    t = _tasks(members.select("comp", "rep", "n"), block).select("comp", "i", "j", "side", "rep")
+    t = _tasks(members.select("comp", "node", "n"), block).select("comp", "i", "j", "side", "node")
     if "i" in t.columns and members.groupBy("comp").agg(F.sum("n").alias("t")).where(F.col("t") > block).isEmpty():
         zero = [F.lit(0).cast("long").alias(c) for c in ("i", "j")]
-        return tokens.select("comp", *zero, F.lit(False).alias("side"), "rep", "n", "m", "tokens")
-    return tokens.join(checked_broadcast(written(t, "tasks")), ["comp", "rep"]).select("comp", "i", "j", "side", "rep", "n", "m", "tokens")
+        return tokens.select("comp", *zero, F.lit(False).alias("side"), "node", "n", "m", "tokens")
+    return tokens.join(checked_broadcast(written(t, "tasks")), ["comp", "node"]).select("comp", "i", "j", "side", "node", "n", "m", "tokens")
 
 
 def similar(docs: DataFrame, percent: int = 70) -> DataFrame:
