@@ -1,10 +1,14 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from rows import make
 
 from tokenloom.llm import packing
+from tokenloom.llm import textkernel as tk
 from tokenloom.llm.tokencache import WordIds, default_path
 
 
@@ -76,7 +80,26 @@ def test_least_squares_reaches_the_histogram():
 
 
 def test_cached_ids_are_the_librarys(lib):
-    e = WordIds(default_path(), memory=50)
+    e = WordIds(default_path(), pieces=50)
     texts = ["Hello  World 123 it's", "ÀÉÎ naïve STRASSE", "汉字 mixed汉字text", "<|startoftext|>x a<|endoftext|>", "été", "a b c", "", "KK ſ İ", "!!!a-b_c...", "x" * 400]
     for t in texts:
         assert np.frombuffer(e.encode(t.encode()), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
+def test_chunks_of_mixed_texts_encode_as_the_library_does(lib):
+    rng = random.Random(1)
+    letters = list("abST'rRevLlDdmM019.,!<|>é É×÷ñ́ſİß\n\t\x1c  漢字“”—")
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(4000)]
+    e, at = WordIds(default_path(), pieces=64, words=20), 0
+    for ch in tk.chunks(pa.array(texts), 1 << 12):
+        ids, offs = e.encode_chunk(ch)
+        for s, z in zip(offs[:-1], offs[1:]):
+            assert ids[s:z].tolist() == lib.encode(texts[at], add_special_tokens=False).ids, texts[at]
+            at += 1
+    assert at == len(texts)
+
+
+def test_a_text_longer_than_a_chunk(spark, lib):
+    long = " ".join(f"Word{i % 977}, it's" for i in range(150_000)) + " " + "ab" * 300_000
+    rows = packing.pack(make(spark, [long, "short", None])).collect()
+    check(rows, {0: long, 1: "short", 2: None}, lib, 2048)

@@ -33,38 +33,43 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .common import checked_broadcast, empty_if_null, written
 from .tokencache import default_path, word_ids
+from .wavelet import binaries, with_end
 
 WINDOW = 2048
 
 
 def _tokenise(path: str, end: int, window: int, wide: bool):
-    kind = np.uint32 if wide else np.uint16
+    kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pid = word_ids(path), TaskContext.get().partitionId()
-        seen: dict[int, int] = defaultdict(int)
+        seen = np.zeros(window, np.int64)
         full_before = 0
-        tail = np.array([end], "<u4").tobytes()
         for b in batches:
             for ch in tk.chunks(b.column(1)):
-                data, at = ch.buf.tobytes(), ch.offs.tolist()
-                out: dict[str, list] = {k: [] for k in ("doc_tokens", "rest", "rank", "full_at", "crcs", "ids")}
-                for s, e in zip(at, at[1:]):
-                    ids = enc.encode(data[s:e]) + tail
-                    n = len(ids) // 4
-                    full, rest = divmod(n, window)
-                    crcs = [zlib.crc32(ids[k * 4 * window : (k + 1) * 4 * window]) for k in range(full)]
-                    out["doc_tokens"].append(n)
-                    out["rest"].append(rest)
-                    out["rank"].append(seen[rest])
-                    out["full_at"].append(full_before)
-                    out["crcs"].append(crcs)
-                    out["ids"].append(np.frombuffer(ids, "<u4")[full * window :].astype(kind).tobytes())
-                    seen[rest] += 1
-                    full_before += full
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                cols = [b.column(0).slice(ch.lo, ch.n), pa.array([pid] * ch.n, pa.int32()), *(pa.array(v, t) for v, t in zip(out.values(), types))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pid", *out])
+                ids, offs = with_end(*enc.encode_chunk(ch), end, "<u4")
+                n = np.diff(offs)
+                full, rest = n // window, n % window
+                row = np.repeat(np.arange(ch.n), full)
+                at = offs[row] + window * (np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full))
+                view = memoryview(ids).cast("B")
+                crcs = [zlib.crc32(view[4 * i : 4 * (i + window)]) for i in at.tolist()]
+                by = np.argsort(rest, kind="stable")
+                new = np.concatenate([[True], rest[by][1:] != rest[by][:-1]])
+                rank = np.empty(ch.n, np.int64)
+                rank[by] = np.arange(ch.n) - np.maximum.accumulate(np.where(new, np.arange(ch.n), 0)) + seen[rest[by]]
+                seen += np.bincount(rest, minlength=window)
+                left = np.ones(len(ids), bool)
+                for i in at.tolist():
+                    left[i : i + window] = False
+                cols = [
+                    b.column(0).slice(ch.lo, ch.n), pa.array(np.full(ch.n, pid, np.int32)), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(rank),
+                    pa.array(full_before + np.cumsum(full) - full),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]).astype(np.int32)), pa.array(crcs, pa.int64())),
+                    binaries(ids[left].astype(kind), np.concatenate([[0], np.cumsum(rest)])),
+                ]
+                full_before += int(full.sum())
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pid", "doc_tokens", "rest", "rank", "full_at", "crcs", "ids"])
 
     return run
 

@@ -1,18 +1,18 @@
 """Token ids in wavelet-matrix files, one per shard of consecutive doc_ids.
 
 Texts are tokenised once into a written table (two bytes an id where the vocabulary
-allows). Document ids are cut into ranges of about equal document counts, tokens are
-summed per range, and neighbouring ranges are merged into shards of about
-``shard_tokens`` ids; so every shard's first position among all ids is known before it is
-written. A shard is sorted by doc_id, one task at a time, and stored as bit planes (the
-wavelet matrix), each with rank samples and compressed by zstd. The file alone answers
+allows). Its narrow columns are cut into at most ``RANGES`` ranges in doc_id order, tokens
+are summed per range, and neighbouring ranges are merged into parts of about
+``shard_tokens`` ids; so every part's first position among all ids is known before it is
+written. A part is sorted by doc_id and cut into shards (one, unless ranges hold more), each
+stored as bit planes (the wavelet matrix), each with rank samples and compressed by zstd. The file alone answers
 access (the id at a position), rank and count (occurrences of an id in a range), select
 (position of its k-th occurrence) and gives whole documents back.
 
 Cases: null or empty text is its end id alone; rows without a doc_id come last; repeated
 ids follow each other in any order (a hot id, or many rows without one, fill several
-shards); an empty table writes no file. A document longer than
-``shard_tokens`` makes its shard longer. Further columns aren't looked at.
+ranges, which rows' numbers tell apart); an empty table writes no file. A document of any
+length is encoded whole; one longer than ``shard_tokens`` makes its shard longer. Further columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -22,16 +22,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, empty_if_null, partitions, read_file, shared_dir, write_file, written
+from .common import empty_if_null, read_file, shared_dir, write_file, written
 from .tokencache import default_path, forget, word_ids
 
 SHARD_TOKENS = 1 << 23
+RANGES = 1 << 16
+LAST, NO_ID = (1 << 63) - 1, 1 << 62  # rows without an id come last
 SAMPLE = 8  # words of 64 bits per rank sample
 _HEAD = struct.Struct("<4sIQQQQ")
 
@@ -178,47 +181,111 @@ class Shard:
         return cls(base, np.frombuffer(out[0], "<i8"), no_id, np.frombuffer(out[1], "<i8"), m)
 
 
+def with_end(ids: np.ndarray, offs: np.ndarray, end: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of documents with the end id behind each one's, and their offsets."""
+    upto = offs + np.arange(len(offs))
+    out = np.empty(int(upto[-1]), kind)
+    inner = np.ones(len(out), bool)
+    inner[upto[1:] - 1] = False
+    out[inner] = ids
+    out[~inner] = end
+    return out, upto
+
+
+def binaries(data: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """A binary column of data[offs[i] : offs[i + 1]] without a copy a row."""
+    at = (offs * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _tokenise(path: str, end: int, wide: bool):
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = word_ids(path), np.array([end], kind).tobytes()
+        enc = word_ids(path)
         for b in batches:
             for ch in tk.chunks(b.column(1)):
-                data, at = ch.buf.tobytes(), ch.offs.tolist()
-                ids = [np.frombuffer(enc.encode(data[s:e]), "<u4").astype(kind).tobytes() + tail for s, e in zip(at, at[1:])]
-                n = np.array([len(x) for x in ids], np.int64) // (4 if wide else 2)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(ch.lo, ch.n), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+                ids, offs = with_end(*enc.encode_chunk(ch), end, kind)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(ch.lo, ch.n), pa.array(np.diff(offs)), binaries(ids, offs)], ["doc_id", "n", "ids"])
 
     return run
 
 
-def _write(folder: str, wide: bool, bits: int):
-    kind = "<u4" if wide else "<u2"
+class Ranges:
+    """Ranges of rows in (doc_id, uid) order, rows without an id last, and the parts that
+    they make up: consecutive ranges of about ``shard_tokens`` ids together."""
+
+    def __init__(self, o: np.ndarray, u: np.ndarray, tokens: np.ndarray, shard_tokens: int):
+        self.o, self.u = o, u  # of the first row of each range
+        before = np.cumsum(tokens) - tokens
+        first = np.unique(before // shard_tokens, return_index=True)[1]
+        self.part = np.searchsorted(first, np.arange(len(o)), "right") - 1
+        self.base = before[first]
+
+    def of(self, o: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The part of each row."""
+        lo, hi = np.searchsorted(self.o, o, "left"), np.searchsorted(self.o, o, "right")
+        at = lo - 1
+        for v in np.unique(o[hi > lo]).tolist():  # ids with which ranges begin: decided by the row
+            mine = np.flatnonzero(o == v)
+            i, j = lo[mine[0]], hi[mine[0]]
+            at[mine] = i - 1 + np.searchsorted(self.u[i:j], u[mine], "right")
+        return self.part[np.maximum(at, 0)]
+
+
+def ranges(t: DataFrame, shard_tokens: int) -> Ranges | None:
+    """Cut the narrow columns of ``t`` into ranges of about equal row counts (at most
+    ``RANGES`` of them reach the driver, three numbers each, whatever the table holds)."""
+    total = t.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    count = min(RANGES, 8 * -(-total // shard_tokens))
+    cut = t.select("o", "u", "n").repartitionByRange(count, "o", "u").select(F.spark_partition_id().alias("p"), "o", "u", "n")
+    rows = cut.groupBy("p").agg(F.min(F.struct("o", "u")).alias("low"), F.sum("n").alias("s")).select("low.*", "s").orderBy("o", "u").collect()
+    return Ranges(*(np.array([r[i] for r in rows], np.int64) for i in range(3)), shard_tokens)
+
+
+def _write(folder: str, wide: bool, bits: int, shard_tokens: int, bases):
+    kind = np.dtype("<u4" if wide else "<u2")
+    most = shard_tokens + shard_tokens // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        shard, base, docs, parts = None, 0, [], []
+        part, files, base = None, 0, 0
+        held, docs, lengths, parts = 0, [], [], []
 
         def flush():
-            ids = np.frombuffer(b"".join(parts), kind)
-            parts.clear()
-            known = np.array([d for d, _ in docs if d is not None], np.int64)
-            s = Shard(base, np.concatenate([known, np.zeros(len(docs) - len(known), np.int64)]), len(docs) - len(known), np.array([n for _, n in docs], np.int64), WaveletMatrix.build(ids, bits))
-            path = f"{folder}/tokens-{shard:06d}.wmx"
+            nonlocal held, files, base, docs, lengths, parts
+            ids, n, doc = np.concatenate(parts), np.concatenate(lengths), pa.concat_arrays(docs)
+            held, docs, lengths, parts = 0, [], [], []
+            s = Shard(base, doc.fill_null(0).to_numpy(), doc.null_count, n, WaveletMatrix.build(ids, bits))
+            path = f"{folder}/tokens-{part:06d}-{files:04d}.wmx"
             data = s.to_bytes()
             write_file(path, data)
+            base, files = base + len(ids), files + 1
             return pa.RecordBatch.from_pydict({"path": pa.array([path]), "size": pa.array([len(data)], pa.int64())})
 
         for b in batches:
-            for k, at, d, n, ids in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if k != shard:
-                    if docs:
+            which, n = b.column(0).to_numpy(), b.column(2).to_numpy()
+            buf, offs = tk.string_buffers(b.column(3))
+            ids, upto = buf.view(kind), offs // kind.itemsize
+            at = 0
+            while at < b.num_rows:
+                if which[at] != part:
+                    if parts:
                         yield flush()
-                    shard, base, docs = k, at, []
-                docs.append((d, n))
-                parts.append(ids)
-        if docs:
+                    part, files, base = int(which[at]), 0, int(bases.value[which[at]])
+                stop = int(np.searchsorted(which[at:], part, "right")) + at  # sorted by part
+                stop = min(stop, int(np.searchsorted(upto, upto[at] + most - held, "left")))
+                stop = max(stop, at + 1)
+                docs.append(b.column(1).slice(at, stop - at))
+                lengths.append(n[at:stop])
+                parts.append(ids[upto[at] : upto[stop]].copy())
+                held += len(parts[-1])
+                at = stop
+                if held >= most:
+                    yield flush()
+        if parts:
             yield flush()
 
     return run
@@ -245,36 +312,18 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     spark, path = docs.sparkSession, path or default_path()
     vocab = max(word_ids(path).tok.get_vocab_size(), end + 1)
     wide = vocab > 1 << 16
-    t = written(docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(_tokenise(path, end, wide), "doc_id long, n long, ids binary").withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    total = t.agg(F.sum("n")).first()[0] or 0
-    ranges = 4 * max(1, -(-total // shard_tokens))
-    cuts = t.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
-    of = F.lit(0)
-    cut = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if len(cuts) <= 64 else None
-    if cut is not None:
-        of = F.aggregate(cut, F.lit(0), lambda n, c: n + F.when(F.col("doc_id") > c, 1).otherwise(0))
-    else:
-        shared = spark.sparkContext.broadcast(cuts)  # eight bytes a range
-        of = F.pandas_udf(lambda x: x.map(lambda v: int(np.searchsorted(shared.value, v))).astype("int32"), "int")(F.coalesce("doc_id", F.lit(0)))
-    none = len(cuts) + 1
-    t = t.withColumn("range", F.when(F.col("doc_id").isNull(), none).otherwise(of).cast("int"))
-    t = t.withColumn("part", F.lit(0))
-    # A range of one id (or of none) may be of any size; its rows have no order to keep.
-    size = t.groupBy("range").agg(F.sum("n").alias("s"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    hot = written(size.where("lo <=> hi").where(F.col("s") > shard_tokens).select("range", F.ceil(F.col("s") / shard_tokens).alias("parts")), "hot")
-    if not hot.isEmpty():
-        t = t.join(checked_broadcast(hot), "range", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("parts")), F.lit(0)).cast("int"))
-    sums = written(t.groupBy("range", "part").agg(F.sum("n").alias("s")), "ranges")
-    before = sums.select("range", "part", (F.sum("s").over(Window.orderBy("range", "part")) - F.col("s")).alias("before"))  # three numbers a range
-    shards = before.withColumn("shard", F.floor(F.col("before") / shard_tokens).cast("int"))
-    shards = written(shards.withColumn("base", F.min("before").over(Window.partitionBy("shard"))).drop("before"), "shards")
-    count = shards.agg(F.count_distinct("shard")).first()[0]
-    rows = t.join(checked_broadcast(shards), ["range", "part"]).select("shard", "base", "doc_id", "n", "ids")
-    # shards are dealt out one after the other, not by hash: no task gets several while others wait
-    parts = max(1, min(count, 4 * partitions(spark)))
-    rows = rows.repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last())
-    return written(rows.mapInArrow(_write(folder, wide, (vocab - 1).bit_length()), "path string, size long"), "files")
+    t = docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(_tokenise(path, end, wide), "doc_id long, n long, ids binary")
+    uid = F.monotonically_increasing_id()
+    t = t.select("*", F.coalesce("doc_id", F.lit(LAST)).alias("o"), (F.when(F.col("doc_id").isNull(), NO_ID).otherwise(0) + uid).alias("u"))
+    t = written(t, "tokens")
+    r = ranges(t, shard_tokens)
+    if r is None:
+        return spark.createDataFrame([], "path string, size long")
+    shared, bases = spark.sparkContext.broadcast(r), spark.sparkContext.broadcast(r.base)
+    of = F.pandas_udf(lambda o, u: pd.Series(shared.value.of(o.to_numpy(), u.to_numpy()).astype("int32")), "int").asNondeterministic()
+    rows = t.withColumn("part", of("o", "u"))
+    rows = rows.repartitionById(len(r.base), "part").sortWithinPartitions("part", "o", "u").select("part", "doc_id", "n", "ids")
+    return written(rows.mapInArrow(_write(folder, wide, (vocab - 1).bit_length(), shard_tokens, bases), "path string, size long"), "files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
