@@ -2,10 +2,12 @@ import numpy as np
 import pytest
 
 import brute
+from rows import make
 from tokenloom.llm import linededup as l
+from tokenloom.llm import places
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_keys": 3}, {"memory": 0}, {"memory": 0, "shard_keys": 2}])
+@pytest.mark.parametrize("how", [{}, {"shard_keys": 3}, {"shard_keys": 40}])
 def test_against_brute_force(docs, texts, how):
     want = brute.kept_lines(list(enumerate(texts)))
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in l.dedup(docs, ["doc_id"], False, **how).collect()}
@@ -34,11 +36,32 @@ def test_perfect_hash(n):
     h = l.PerfectHash.build(keys)
     assert sorted(h.lookup(keys)) == list(range(len(keys)))
     prints = rng.integers(0, 1 << 63, len(keys), dtype=np.uint64)
-    own = np.arange(len(keys))
-    s = l.LineShard.from_bytes(l.LineShard.build(np.concatenate([keys, keys[:1]]), np.concatenate([prints, prints[:1] + np.uint64(1)]), np.concatenate([own, own[:1]]), np.concatenate([own, own[:1] - 7])).to_bytes())
-    hit, owner = s.owner(keys, prints)
-    assert hit.all() and (owner == own).all()
-    hit, owner = s.owner(keys[:1], prints[:1] + np.uint64(1))
-    assert hit.all() and (owner == -7).all()
-    others = rng.integers(1 << 63, (1 << 64) - 1, (2, 1000), dtype=np.uint64)
-    assert not s.owner(others[0], others[1])[0].any()
+    own, count = np.arange(len(keys)), np.where(np.arange(len(keys)) % 3, 2, 300)
+    more = [np.concatenate([x, x[:1]]) for x in (keys, count)]
+    built = l.LineShard.build(more[0], np.concatenate([prints, prints[:1] + np.uint64(1)]), more[1], np.concatenate([own, own[:1] - 7]))
+    s = l.LineShard.from_bytes(built.to_bytes())
+    found, owner = s.probe(keys, prints)
+    assert (found == np.minimum(count, 255)).all() and (owner == own).all()
+    found, owner = s.probe(keys[:1], prints[:1] + np.uint64(1))
+    assert (found > 1).all() and (owner == -7).all()
+    assert s.prints.itemsize == 2 and s.counts.itemsize == 1
+
+
+def test_a_block_may_span_files_and_a_file_blocks(spark, texts, tmp_path):
+    make(spark, texts).coalesce(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert places.standing(docs) is docs and places.standing(docs.unionByName(docs)) is not docs
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in l.dedup(docs, ["doc_id"], False, block=4).collect()}
+    assert got == {i: (a, b, brute.sha(c)) for i, (a, b, c) in brute.kept_lines(list(enumerate(texts))).items()}
+
+
+def test_long_texts_hot_lines_and_clashing_names(spark):
+    hot = "this line is in every document"
+    long = "\n".join(f"line number {i} of many" for i in range(100_000)) + "\n" + "x" * 2_000_000
+    texts = [long, hot + "\n" + long, *[f"{hot}\nown line of {i}" for i in range(3000)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = rows.selectExpr("*", "'a' AS `odd``name`", "1 AS n_lines_", "2 AS __x_block")
+    out = l.dedup(rows, ["doc_id", "text", "odd`name", "__x_block"], True)
+    assert out.columns == ["doc_id", "odd`name", "__x_block", "n_lines", "n_dropped", "text"]
+    want = brute.kept_lines(list(enumerate(texts)))
+    assert {r.doc_id: r.text for r in out.collect()} == {i: c for i, (_, _, c) in want.items()}

@@ -40,6 +40,11 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL writes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def empty_if_null(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -1,24 +1,27 @@
 """Line dedup by a sharded minimal perfect hash over distinct line hashes.
 
 A line's key is stripped of ``[\\x20\\x09-\\x0D]`` at both ends and lower-cased (A-Z). Keys
-of ``least`` code points or more are hashed twice (64 bits each) and counted over all
-documents: distinct per document, partial sums before the shuffle. Keys of two or more
-documents go to shards by their hash; each shard's file holds a minimal perfect hash (levels
-of bit arrays with ranks) over the first hash and, at its positions, the second hash as
-the fingerprint, the count and the smallest doc_id. A second scan probes these
-arrays: a line whose fingerprint answers is dropped unless the document is the one that
-the array names. No line is joined.
-
-The files together are bounded by ``memory`` before any task loads them; beyond that the
-documents' line hashes go to the shards (a shuffle of 24 bytes a line that could be
-dropped), each shard is probed by the task that holds it, and only the line numbers to
-drop come back, joined by document.
+of ``least`` code points or more are hashed twice (64 bits each). The first scan writes,
+for each chunk of texts, its distinct keys with their number of documents; sums over all
+chunks (partial before the shuffle) give every distinct key its count and its smallest
+doc_id. All distinct keys go to shards by their hash. A shard's file holds a minimal perfect
+hash (levels of bit arrays with ranks) over the first hash and, at its numbers, 16 bits of
+the second hash as the fingerprint, a count that stops at 255, and for keys of two or more
+documents, by rank, the smallest doc_id. As every key that is ever looked up is in the
+index, a number can't belong to another key: fingerprints guard against damage only, and
+keys that share the first hash are kept with both hashes beside the arrays.
+
+A chunk's distinct keys, not its lines, are then sent to the shards (salted, so a hot key
+is no hot task) and probe the arrays; what is found twice comes back to the block of rows
+that asked (``places``), a small file each. The second scan looks its lines up in its
+block's file and drops a line unless its document is the one that the array named. No
+text and no line is joined, and the plan is the same at every size.
 
 Cases: null or empty text has one empty line; keys that occur only within one document
 (or only in rows of one doc_id) stay; a key of which no row has an id stays everywhere;
 rows without an id lose the lines that a document with an id holds. Repeated rows are
-treated alike. An empty table gives an empty result. Further columns are kept as they
-are by ``rewrite``.
+treated alike. A text or a line of any length is looked at whole. An empty table gives an
+empty result. Further columns, whatever their names, are kept as they are by ``texts``.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .common import open_fs, partitions, read_file, shared_dir, write_file, written
+from .common import partitions, read_file, shared_dir, write_file, written
+from .places import BLOCK, FILE, ROW, Answers, placed, standing, store
 
-MEMORY = 64 << 20
 SHARD_KEYS = 1 << 20
-NO_ID = -(1 << 63)
+SALTS = 8
+NO_ID, LAST = -(1 << 63), (1 << 63) - 1
 _SALT = tk.mix(np.arange(1, 257, dtype=np.uint64) * tk.U(0xC2B2AE3D27D4EB4F))
 VAL2_LOWER = _SALT[tk.LOWER]
 
@@ -97,66 +102,69 @@ class PerfectHash:
 
 
 class LineShard:
-    """One shard: the hash and the arrays at its numbers."""
+    """One shard: the hash and the arrays at its numbers. ``owners`` are of the keys with a
+    count of two or more, in the order of their numbers."""
 
-    def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray, owners: np.ndarray):
-        self.mph, self.prints, self.counts, self.owners = mph, prints, counts, owners
+    def __init__(self, mph: PerfectHash, prints: np.ndarray, counts: np.ndarray, owners: np.ndarray, extra: dict[tuple[int, int], tuple[int, int]]):
+        self.mph, self.prints, self.counts, self.owners, self.extra = mph, prints, counts, owners, extra
+        self.rank = np.cumsum(counts > 1) - 1
+
+    @staticmethod
+    def print_of(h2: np.ndarray) -> np.ndarray:
+        return (h2 >> tk.U(48)).astype(np.uint16)
 
     @classmethod
     def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, owners: np.ndarray) -> LineShard:
-        """Of keys that share ``h1``, all are kept in buckets: the first is at its number, and
-        the others (as good as never there) in a list searched by both hashes."""
+        """Of distinct keys that share ``h1``, the first is at its number, and the others (as
+        good as never there) in a list searched by both hashes."""
         order = np.lexsort((h2, h1))
-        h1, h2, counts, owners = h1[order], h2[order], counts[order], owners[order]
+        h1, h2, counts, owners = h1[order], h2[order], np.minimum(counts[order], 255), owners[order]
         first = np.concatenate([[True], h1[1:] != h1[:-1]]) if len(h1) else np.zeros(0, bool)
         mph = PerfectHash.build(h1[first])
         at = mph.lookup(h1[first])
-        p, c, o = (np.empty(mph.n, t) for t in (np.uint64, np.int64, np.int64))
-        p[at], c[at], o[at] = h2[first], counts[first], owners[first]
-        s = cls(mph, p, c, o)
-        s.extra = {(int(a), int(b)): (int(n), int(w)) for a, b, n, w in zip(h1[~first], h2[~first], counts[~first], owners[~first])}
-        return s
-
-    extra: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def owner(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each line is in the shard, and the document that keeps it."""
+        p, c, o = np.empty(mph.n, np.uint16), np.empty(mph.n, np.uint8), np.empty(mph.n, np.int64)
+        p[at], c[at], o[at] = cls.print_of(h2[first]), counts[first], owners[first]
+        extra = {(int(a), int(b)): (int(n), int(w)) for a, b, n, w in zip(h1[~first], h2[~first], counts[~first], owners[~first])}
+        return cls(mph, p, c, o[c > 1], extra)
+
+    def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each key (0: not in the shard), and the document that keeps its line
+        where the count is two or more."""
         at = self.mph.lookup(h1)
-        hit = at >= 0
-        hit[hit] = self.prints[at[hit]] == h2[hit]
-        own = np.full(len(h1), NO_ID)
-        own[hit] = self.owners[at[hit]]
-        if self.extra:
-            for i in np.flatnonzero(~hit).tolist():
-                e = self.extra.get((int(h1[i]), int(h2[i])))
-                if e:
-                    hit[i], own[i] = True, e[1]
-        return hit, own
+        in_it = at >= 0
+        in_it[in_it] = self.prints[at[in_it]] == self.print_of(h2[in_it])
+        count, own = np.zeros(len(h1), np.int64), np.full(len(h1), NO_ID)
+        count[in_it] = self.counts[at[in_it]]
+        again = np.flatnonzero(count > 1)
+        own[again] = self.owners[self.rank[at[again]]]
+        for (a, b), (n, w) in self.extra.items():
+            mine = (h1 == tk.U(a)) & (h2 == tk.U(b))
+            count[mine], own[mine] = n, w
+        return count, own
 
     def to_bytes(self) -> bytes:
-        parts = [struct.pack("<4sQIQ", b"LMPH", self.mph.n, len(self.mph.levels), len(self.extra))]
+        parts = [struct.pack("<4sQIQQ", b"LMPH", self.mph.n, len(self.mph.levels), len(self.owners), len(self.extra))]
         parts += [struct.pack("<Q", len(w)) + w.tobytes() for w in self.mph.levels]
-        parts += [a.tobytes() for a in (self.prints, self.counts, self.owners)]
+        parts += [a.tobytes() for a in (self.owners, self.prints, self.counts)]
         parts += [struct.pack("<QQqq", *k, *v) for k, v in self.extra.items()]
         return b"".join(parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> LineShard:
-        magic, n, levels, extra = struct.unpack_from("<4sQIQ", data)
+        magic, n, levels, again, extra = struct.unpack_from("<4sQIQQ", data)
         if magic != b"LMPH":
             raise ValueError("not a shard of lines")
-        at, words = struct.calcsize("<4sQIQ"), []
+        at, words = struct.calcsize("<4sQIQQ"), []
         for _ in range(levels):
             (k,) = struct.unpack_from("<Q", data, at)
             words.append(np.frombuffer(data, np.uint64, k, at + 8))
             at += 8 + 8 * k
         arrays = []
-        for t in (np.uint64, np.int64, np.int64):
-            arrays.append(np.frombuffer(data, t, n, at))
-            at += 8 * n
-        s = cls(PerfectHash(n, words), *arrays)
-        s.extra = {tuple(x[:2]): tuple(x[2:]) for x in (struct.unpack_from("<QQqq", data, at + 32 * i) for i in range(extra))}
-        return s
+        for t, k in ((np.int64, again), (np.uint16, n), (np.uint8, n)):
+            arrays.append(np.frombuffer(data, t, k, at))
+            at += arrays[-1].nbytes
+        more = {tuple(x[:2]): tuple(x[2:]) for x in (struct.unpack_from("<QQqq", data, at + 32 * i) for i in range(extra))}
+        return cls(PerfectHash(n, words), arrays[1], arrays[2], arrays[0], more)
 
 
 # == lines ==
@@ -177,36 +185,43 @@ def line_keys(ch: tk.Chunk, least: int):
     return starts, ends, first, some, tk.span_hashes(ch.buf, ks, ke, tk.VAL_LOWER), tk.span_hashes(ch.buf, ks, ke, VAL2_LOWER)
 
 
-def _hashes(least: int):
-    """Distinct keys of each document; keys that a task meets again are summed up already."""
+def _hashes(least: int, size: int):
+    """Distinct keys of each chunk and block of rows: documents, smallest and largest id,
+    documents without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            file, block = b.column(2).to_numpy(), b.column(3).to_numpy() // size
             for ch in tk.chunks(b.column(1)):
                 _, _, first, at, h1, h2 = line_keys(ch, least)
+                if not len(h1):
+                    continue
                 doc = np.searchsorted(first, at, "right") - 1
                 ids = b.column(0).slice(ch.lo, ch.n)
                 none = ids.is_null().to_numpy(zero_copy_only=False)
                 ids = ids.fill_null(NO_ID).to_numpy()
-                order = np.lexsort((doc, h2, h1))
-                h1, h2, doc = h1[order], h2[order], doc[order]
+                f, k = file[ch.lo : ch.hi], block[ch.lo : ch.hi]
+                run_of = np.cumsum(np.concatenate([[False], (f[1:] != f[:-1]) | (k[1:] != k[:-1])]))[doc]
+                order = np.lexsort((doc, h2, h1, run_of))
+                h1, h2, doc, run_of = h1[order], h2[order], doc[order], run_of[order]
                 new_key = np.ones(len(h1), bool)
-                new_key[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                new_key[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (run_of[1:] != run_of[:-1])
                 new = new_key.copy()
                 new[1:] |= doc[1:] != doc[:-1]
                 h1, h2, doc, new_key = h1[new], h2[new], doc[new], new_key[new]
-                if not len(h1):
-                    continue
                 cut = np.flatnonzero(new_key)
-                lo = np.where(none[doc], 1 << 62, ids[doc])
+                lo = np.where(none[doc], LAST, ids[doc])
                 n_ids = np.add.reduceat((~none[doc]).astype(np.int64), cut)
                 mn, mx = np.minimum.reduceat(lo, cut), np.maximum.reduceat(ids[doc], cut)
                 n = np.diff(np.concatenate([cut, [len(h1)]]))
                 mask = n_ids == 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[cut].view(np.int64)), pa.array(h2[cut].view(np.int64)), pa.array(n), pa.array(mn, mask=mask), pa.array(mx, mask=mask), pa.array(n - n_ids)],
-                    ["h1", "h2", "n", "lo", "hi", "no_id"],
-                )
+                    [
+                        pa.array(h1[cut].view(np.int64)), pa.array(h2[cut].view(np.int64)), pa.array(n), pa.array(mn, mask=mask), pa.array(mx, mask=mask),
+                        pa.array(n - n_ids), pa.array(f[doc[cut]]), pa.array(k[doc[cut]] * size),
+                    ],
+                    ["h1", "h2", "n", "lo", "hi", "no_id", FILE, ROW],
+                )
 
     return run
 
@@ -238,66 +253,100 @@ def _build(folder: str):
 
 
 class LineIndex:
-    """The shards in a folder."""
+    """The shards in a folder, and the keys of each chunk that they were made from."""
+
+    def __init__(self, folder: str, shards: int, keys: DataFrame):
+        self.folder, self.shards, self.keys = folder, shards, keys
 
-    def __init__(self, folder: str, shards: int, size: int):
-        self.folder, self.shards, self.size = folder, shards, size
+    @staticmethod
+    def _shard(shards: int):
+        return F.pmod(F.col("h2"), F.lit(shards)).cast("int").alias("shard")
 
     @classmethod
-    def build(cls, docs: DataFrame, least: int = 10, shard_keys: int = SHARD_KEYS) -> LineIndex:
+    def build(cls, docs: DataFrame, least: int = 10, shard_keys: int = SHARD_KEYS, block: int = BLOCK) -> LineIndex:
+        """``docs``: doc_id, text and place."""
         spark = docs.sparkSession
-        schema = "h1 long, h2 long, n long, lo long, hi long, no_id long"
-        h = docs.select("doc_id", "text").mapInArrow(_hashes(least), schema)
-        g = h.groupBy("h1", "h2").agg(*[F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("no_id").alias("no_id")])
-        twice = F.col("lo").isNotNull() & ((F.col("lo") < F.col("hi")) | (F.col("no_id") > 0))
-        g = written(g.where(twice).select("h1", "h2", "n", F.col("lo").alias("owner")), "repeated")
-        shards = max(1, -(-g.count() // shard_keys))
+        schema = f"h1 long, h2 long, n long, lo long, hi long, no_id long, {FILE} long, {ROW} long"
+        keys = written(docs.mapInArrow(_hashes(least, block), schema), "keys")
+        shards = max(1, -(-keys.count() // shard_keys))
+        g = keys.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("no_id").alias("no_id"))
+        several = F.col("lo").isNotNull() & ((F.col("lo") < F.col("hi")) | (F.col("no_id") > 0))
+        count = F.when(several, F.greatest("n", F.lit(2))).otherwise(1)
+        g = g.select(cls._shard(shards), "h1", "h2", count.alias("n"), F.coalesce("lo", F.lit(NO_ID)).alias("owner"))
         folder = shared_dir(spark)
-        keyed = g.select(F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "n", "owner")
-        built = written(keyed.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard").mapInArrow(_build(folder), "shard int, size long"), "built")
-        return cls(folder, shards, built.agg(F.sum("size")).first()[0] or 0)
-
+        g = g.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard")
+        written(g.mapInArrow(_build(folder), "shard int, size long"), "built")
+        return cls(folder, shards, keys)
 
-_LOADED: dict[str, list[LineShard | None]] = {}
+    def repeated(self) -> DataFrame:
+        """The keys of two or more documents in each block of rows: place, h1, h2, owner."""
+        salt = F.pmod(F.xxhash64(FILE, ROW), F.lit(SALTS)).cast("int")
+        k = self.keys.select(self._shard(self.shards), salt.alias("salt"), "h1", "h2", FILE, ROW)
+        k = k.repartition(partitions(k.sparkSession), "shard", "salt").sortWithinPartitions("shard").drop("salt")
+        return k.mapInArrow(_probe(self.folder), f"h1 long, h2 long, owner long, {FILE} long, {ROW} long")
 
 
-def _shard(folder: str, k: int) -> LineShard | None:
-    fs, path = open_fs(f"{folder}/lines-{k}.bin")
-    if not fs.get_file_info(path).is_file:
-        return None
-    return LineShard.from_bytes(read_file(f"{folder}/lines-{k}.bin"))
-
+def _probe(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, s = None, None
+        for b in batches:
+            shard = b.column(0).to_numpy()
+            h1, h2 = (b.column(i).to_numpy().view(np.uint64) for i in (1, 2))
+            count, own = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)] if len(shard) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if shard[lo] != have:
+                    have = shard[lo]
+                    s = LineShard.from_bytes(read_file(f"{folder}/lines-{have}.bin"))
+                count[lo:hi], own[lo:hi] = s.probe(h1[lo:hi], h2[lo:hi])
+            if (count == 0).any():
+                raise RuntimeError("a shard doesn't hold a key that it was made from")
+            part = pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(own), b.column(3), b.column(4)], ["h1", "h2", "owner", FILE, ROW])
+            yield part.filter(pa.array(count > 1))
 
-def _all_shards(folder: str, shards: int) -> list[LineShard | None]:
-    """This worker's copy of an index that is bounded in size; only one is held."""
-    if folder not in _LOADED:
-        _LOADED.clear()
-        _LOADED[folder] = [_shard(folder, k) for k in range(shards)]
-    return _LOADED[folder]
+    return run
 
 
-def _probe(folder: str, shards: int, least: int, keep: list[str], texts: bool):
+def _owner(t: pa.Table, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in a block's table (sorted by both hashes as signed numbers), and their owner."""
+    a, b, own = (t.column(c).to_numpy() for c in ("h1", "h2", "owner"))
+    h1, h2 = h1.view(np.int64), h2.view(np.int64)
+    at = np.searchsorted(a, h1)
+    hit, out = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
+    todo = np.flatnonzero(at < len(a))
+    while len(todo):  # more than once for keys that share the first hash only
+        i = at[todo]
+        todo = todo[a[i] == h1[todo]]
+        i = at[todo]
+        same = b[i] == h2[todo]
+        hit[todo[same]], out[todo[same]] = True, own[i[same]]
+        todo = todo[~same]
+        at[todo] += 1
+        todo = todo[at[todo] < len(a)]
+    return hit, out
+
+
+def _drop(folder: str, block: int, least: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = _all_shards(folder, shards)
+        answers = Answers(folder, block)
         for b in batches:
-            names = b.schema.names
-            for ch in tk.chunks(b.column(names.index("text"))):
+            file, row = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
+            for ch in tk.chunks(b.column(1)):
                 starts, ends, first, at, h1, h2 = line_keys(ch, least)
-                ids = b.column(names.index("doc_id")).slice(ch.lo, ch.n).fill_null(NO_ID).to_numpy()
-                doc = np.searchsorted(first, at, "right") - 1
+                ids = b.column(0).slice(ch.lo, ch.n).fill_null(NO_ID).to_numpy()
                 gone = np.zeros(len(starts), bool)
-                of = (h1.view(np.int64) % shards) if shards > 1 else np.zeros(len(h1), np.int64)
-                for k, s in enumerate(loaded):
-                    if s is not None:
-                        mine = np.flatnonzero(of == k) if shards > 1 else slice(None)
-                        hit, own = s.owner(h1[mine], h2[mine])
-                        gone[at[mine][hit & (own != ids[doc[mine]])]] = True
-                yield _rewritten(b.slice(ch.lo, ch.n), ch, starts, ends, first, gone, keep, texts)
+                for lo, hi, t in answers.blocks(file[ch.lo : ch.hi], row[ch.lo : ch.hi]):
+                    if t is not None:
+                        x, z = np.searchsorted(at, [first[lo], first[hi]])
+                        hit, own = _owner(t, h1[x:z], h2[x:z])
+                        doc = np.searchsorted(first, at[x:z], "right") - 1
+                        gone[at[x:z][hit & (own != ids[doc])]] = True
+                yield _rewritten(b.slice(ch.lo, ch.n), ch, starts, ends, first, gone, texts)
 
     return run
 
 
-def _rewritten(part: pa.RecordBatch, ch, starts, ends, first, gone, keep: list[str], texts: bool) -> pa.RecordBatch:
+def _rewritten(part: pa.RecordBatch, ch: tk.Chunk, starts, ends, first, gone, texts: bool) -> pa.RecordBatch:
     data, s, e, f = ch.buf.tobytes(), starts.tolist(), ends.tolist(), first.tolist()
     dropped = tk.counts_below(gone, first)
     out = []
@@ -306,82 +355,22 @@ def _rewritten(part: pa.RecordBatch, ch, starts, ends, first, gone, keep: list[s
             out.append(data[s[f[d]] : e[f[d + 1] - 1]])
         else:
             out.append(b"\n".join([data[s[i] : e[i]] for i in range(f[d], f[d + 1]) if not gone[i]]))
-    cols = [part.column(part.schema.names.index(k)) for k in keep if k != "text" or not texts]
-    names = [k for k in keep if k != "text" or not texts]
-    last = [pa.array([x.decode() for x in out], pa.string())] if texts else [pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(first)), pa.array(dropped.astype(np.int64)), *last], [*names, "n_lines", "n_dropped", "text" if texts else "kept_sha256"])
-
-
-def _numbered(least: int):
-    """(uid, h1, h2, line, doc_id) of every line that could be dropped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ch in tk.chunks(b.column(1)):
-                _, _, first, at, h1, h2 = line_keys(ch, least)
-                doc = np.searchsorted(first, at, "right") - 1
-                take = pa.array(doc + ch.lo)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(2).take(take), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(at - first[doc])],
-                    ["doc_id", "uid", "h1", "h2", "line"],
-                )
-
-    return run
-
-
-def _probe_sorted(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, s = None, None
-        for b in batches:
-            shard = b.column(0).to_numpy()
-            ids = b.column(1).fill_null(NO_ID).to_numpy()
-            h1, h2 = (b.column(i).to_numpy().view(np.uint64) for i in (3, 4))
-            gone = np.zeros(b.num_rows, bool)
-            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)] if len(shard) else []
-            for lo, hi in zip(cuts, cuts[1:]):
-                if shard[lo] != have:
-                    have = shard[lo]
-                    s = _shard(folder, int(have))
-                if s is not None:
-                    hit, own = s.owner(h1[lo:hi], h2[lo:hi])
-                    gone[lo:hi] = hit & (own != ids[lo:hi])
-            at = pa.array(np.flatnonzero(gone))
-            yield pa.RecordBatch.from_arrays([b.column(2).take(at), b.column(5).take(at)], ["uid", "line"])
-
-    return run
-
-
-def _drop_listed(keep: list[str], texts: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.schema.names
-            lists = b.column(names.index("__x_gone"))
-            for ch in tk.chunks(b.column(names.index("text"))):
-                starts, ends, first = tk.lines(ch)
-                gone = np.zeros(len(starts), bool)
-                for d, l in enumerate(lists.slice(ch.lo, ch.n).to_pylist()):
-                    if l:
-                        gone[np.array(l) + first[d]] = True
-                yield _rewritten(b.slice(ch.lo, ch.n), ch, starts, ends, first, gone, keep, texts)
-
-    return run
+    last = pa.array([x.decode() for x in out], pa.string()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())
+    cols = [*part.columns[2:-2], pa.array(np.diff(first)), pa.array(dropped.astype(np.int64)), last]
+    return pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
 
 
-def dedup(docs: DataFrame, keep: list[str], texts: bool, least: int = 10, shard_keys: int = SHARD_KEYS, memory: int = MEMORY) -> DataFrame:
-    """``keep`` columns, n_lines, n_dropped and the rest of each text (``texts``) or its SHA-256."""
-    index = LineIndex.build(docs, least, shard_keys)
+def dedup(docs: DataFrame, keep: list[str], texts: bool, least: int = 10, shard_keys: int = SHARD_KEYS, block: int = BLOCK) -> DataFrame:
+    """``keep`` columns, n_lines, n_dropped and the rest of each text (``texts``; it comes
+    last) or its SHA-256."""
+    docs = standing(docs)
+    index = LineIndex.build(placed(docs, "doc_id", "text"), least, shard_keys, block)
+    folder = store(index.repeated(), block)
     shown = [k for k in keep if k != "text" or not texts]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*shown).schema] if shown else []
-    schema = ", ".join([*fields, "n_lines long", "n_dropped long", "text string" if texts else "kept_sha256 string"])
-    cols = list(dict.fromkeys([*keep, "doc_id", "text"]))
-    if index.size <= memory:
-        return docs.select(*cols).mapInArrow(_probe(index.folder, index.shards, least, keep, texts), schema)
-    rows = docs.select(*cols).withColumn("__x_uid", F.monotonically_increasing_id())
-    lines = rows.select("doc_id", "text", "__x_uid").mapInArrow(_numbered(least), "doc_id long, uid long, h1 long, h2 long, line long")
-    # Hot lines are a third of all rows at worst: their shard is salted over several tasks.
-    spread = F.struct(F.pmod(F.col("h1"), F.lit(index.shards)).cast("int").alias("shard"), F.pmod(F.col("uid"), F.lit(16)).alias("salt"))
-    lines = lines.select(spread.alias("_at"), "*").repartition(partitions(docs.sparkSession), "_at").select(F.col("_at.shard").alias("shard"), "doc_id", "uid", "h1", "h2", "line")
-    gone = lines.sortWithinPartitions("shard").mapInArrow(_probe_sorted(index.folder), "uid long, line long")
-    gone = gone.groupBy("uid").agg(F.collect_list("line").alias("__x_gone"))  # a document's lines at most
-    both = rows.join(gone, rows["__x_uid"] == gone["uid"], "left").select(*cols, "__x_gone")
-    return both.mapInArrow(_drop_listed(keep, texts), schema)
+    kinds = {f.name: f.dataType for f in docs.schema}
+    names = [*shown, "n_lines", "n_dropped", "text" if texts else "kept_sha256"]
+    types = [*(kinds[k] for k in shown), T.LongType(), T.LongType(), T.StringType()]
+    plain = [f"c{i}" for i in range(len(names))]  # no name can clash
+    rows = placed(docs, "doc_id", "text", *shown)
+    rows = rows.toDF(*[f"i{i}" for i in range(len(rows.columns))])
+    return rows.mapInArrow(_drop(folder, block, least, texts), T.StructType([T.StructField(n, t) for n, t in zip(plain, types)])).toDF(*names)
