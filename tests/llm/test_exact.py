@@ -3,7 +3,7 @@ import pytest
 
 import brute
 from rows import make
-from tokenloom.llm import exact
+from tokenloom.llm import common, exact
 from tokenloom.llm.fuse import FuseFilter
 
 
@@ -41,11 +41,44 @@ def test_null_ids_and_repeated_rows(odd, texts, empty):
     assert exact.groups(empty).collect() == [] and exact.unique(empty).collect() == []
 
 
-def test_salted_bucket(spark, monkeypatch):
-    monkeypatch.setattr(exact, "SALT_ROWS", 3)
-    d = make(spark, ["one long copy of a text"] * 40 + ["other"])
-    r = exact.groups(d).collect()
-    assert sum(x.kept for x in r) == 2 and {x.group_size for x in r} == {40, 1}
+def test_a_hot_group(spark, monkeypatch):
+    """Beyond the broadcast limit, hot keys are broadcast and the rest is shuffled."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    texts = ["one long copy of a text"] * 400 + [f"text {i // 2}" for i in range(60)] + ["other"]
+    r = exact.groups(make(spark, texts)).collect()
+    assert {(x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in r} == want(list(enumerate(texts)))
+
+
+def test_an_id_with_two_texts(spark):
+    d = make(spark, ["hello world", "hello world", "other", "hello  world", "x"], [1, 2, 2, 3, 4])
+    got = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size, r.kept) for r in exact.groups(d).collect()}
+    h, o, x = (brute.sha(t) for t in ("hello world", "other", "x"))
+    assert got == {(1, h): (1, 3, True), (2, h): (1, 3, False), (2, o): (2, 1, True), (3, h): (1, 3, False), (4, x): (4, 1, True)}
+    assert sorted((r.doc_id, r.text) for r in exact.unique(d).collect()) == [(1, "hello world"), (2, "other"), (4, "x")]
+
+
+def test_long_texts(spark):
+    long = "many words " * 300_000
+    texts = [long, "a", long.replace(" ", "\t"), long + "x", "a"]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.groups(make(spark, texts)).collect()}
+    assert got == want(list(enumerate(texts)))
+
+
+def test_stored_snapshots(spark, docs, texts):
+    rows = exact.digests(exact.standing(docs))
+    stored = []
+    for k in (0, 1):
+        folder = common.shared_dir(spark)
+        exact.Snapshot.build(rows.where(f"doc_id % 3 = {k}"), 7, folder)
+        stored.append(exact.Snapshot.open(spark, folder))
+    batch = docs.where("doc_id % 3 = 2")
+    left = exact.new_texts(batch, stored)
+    known = {brute.normal(t) for i, t in enumerate(texts) if i % 3 < 2}
+    first = {}
+    for i, t in enumerate(texts):
+        if i % 3 == 2 and brute.normal(t) not in known:
+            first.setdefault(brute.normal(t), i)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(first.values()) and left.columns == docs.columns
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 50_000])

@@ -40,6 +40,20 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def keyed_join(rows: DataFrame, small: DataFrame, on: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``small`` (written; one row a key, ``weight`` = how many of ``rows``
+    have it). Up to ``BROADCAST_ROWS`` keys are broadcast. Beyond it, the keys of more than
+    their share of rows are (fewer than ``BROADCAST_ROWS`` can be, as weights add up to the
+    rows at most), and the rest, none of which is hot, is shuffled."""
+    limit = BROADCAST_ROWS
+    if small.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(small), on, how)
+    most = (small.agg(F.sum(weight)).first()[0] or 0) // max(limit, 1) + 1
+    hot = F.broadcast(small.where(F.col(weight) > most))
+    rest = rows.join(hot.select(on), on, "left_anti").join(small.where(F.col(weight) <= most), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def quoted(name: str) -> str:
     """A column's name as SQL writes it, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
@@ -75,5 +89,12 @@ def arrow_schema(**kinds: pa.DataType) -> pa.Schema:
     return pa.schema(list(kinds.items()))
 
 
+def dealt(df: DataFrame, by: Column, most: int) -> DataFrame:
+    """``df`` in at most ``most`` partitions by a number: dealt out in turn, not by its hash, so
+    none gets several numbers while others have none."""
+    n = max(1, min(most, partitions(df.sparkSession)))
+    return df.repartitionById(n, F.pmod(by, F.lit(n)).cast("int"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

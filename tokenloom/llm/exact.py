@@ -1,38 +1,46 @@
 """Exact dedup of normalised texts against immutable snapshots and within a new batch.
 
-A snapshot is a folder: its distinct digests (digest, smallest doc_id, rows) and, for
+A snapshot is a folder: its distinct digests (digest, row that stays, rows) and, for
 each shard of the digest space, a static binary fuse filter. An incoming batch is first
 aggregated to distinct digests, so copies never meet in one task; each shard's digests
 are screened by that shard's filter, which one task loads at a time. Negatives are
 certainly new and are only grouped among themselves; positives join the snapshot's exact
-buckets. Members of a bucket are then compared byte for byte with the text of the row
-that stays; a bucket is salted so that at most ``SALT_ROWS`` rows meet one copy of that
-text. Texts with equal digests but unequal bytes are grouped anew by their bytes.
+buckets.
+
+Members of a bucket are then compared byte for byte. A task of the scan compares the
+members that it meets with the first one of their bucket and sends that one on; buckets are
+salted by the root of their size, each part is compared and sends one text on, and these
+are compared with each other: no text is copied, and no task meets a bucket whole. A
+bucket of unequal bytes (equal digests by chance) is grouped anew by its bytes. Rows are
+told apart by their place (``places``), never by their doc_id.
 
 Cases: texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` becomes one
 space; null counts as empty, and empty texts are equal to each other. Of repeated rows
-(equal id and text) exactly one stays. Rows with a null id are grouped by digest alone
-(no byte check finds them again) and stay only where no row of the group has an id. An
-empty table gives an empty result. Other columns aren't looked at.
+(equal id and text) exactly one stays; rows of one id with different texts are documents
+of their own. Rows with a null id stay only where no row of the group has an id. Texts of
+any length are read whole. An empty table gives an empty result. Other columns, whatever
+their names, aren't looked at, and ``unique`` keeps them as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, empty_if_null, partitions, read_file, shared_dir, write_file, written
+from .common import checked_broadcast, dealt, keyed_join, partitions, read_file, shared_dir, write_file, written
 from .fuse import FuseFilter
+from .places import FILE, ROW, Answers, placed, standing, store, without
 from .tokencache import forget
 
-SALT_ROWS = 1000
 SHARD_KEYS = 1 << 18
+HELD = 64 << 20
 
 
 def normalised(ch: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -48,25 +56,25 @@ def normalised(ch: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.where(sep, np.uint8(32), ch.buf)[keep], upto[ch.offs]
 
 
-def _digest(keep: list[str], size: int):
+def _digest(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for b in batches:
-            for ch in tk.chunks(b.column(b.schema.get_field_index("text"))):
+            for ch in tk.chunks(b.column(1)):
                 buf, offs = normalised(ch)
-                data, at = buf.tobytes(), offs.tolist()
+                data, at = memoryview(buf), offs.tolist()
                 out = [hashlib.sha256(data[s:e]).digest() for s, e in zip(at, at[1:])]
                 part = b.slice(ch.lo, ch.n)
-                cols = [part.column(part.schema.get_field_index(k)) for k in keep]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([d[:size] for d in out], pa.binary()), pa.array([d.hex() for d in out] if size < 32 else [None] * len(out), pa.string())], [*keep, "digest", "full"])
+                full = pa.array([d.hex() for d in out] if size < 32 else [None] * len(out), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([d[:size] for d in out], pa.binary()), full, part.column(2), part.column(3)], ["doc_id", "digest", "full", FILE, ROW])
 
     return run
 
 
 def digests(docs: DataFrame, size: int = 32) -> DataFrame:
-    """doc_id and SHA-256 of each normalised text; ``size`` < 32 cuts the digest short (tests
-    make collisions by it) and gives the whole one in ``full``."""
-    return docs.select("doc_id", "text").mapInArrow(_digest(["doc_id"], size), "doc_id long, digest binary, full string")
+    """doc_id, SHA-256 of each normalised text, and place; ``size`` < 32 cuts the digest short
+    (tests make collisions by it) and gives the whole one in ``full``."""
+    return placed(docs, "doc_id", "text").mapInArrow(_digest(size), f"doc_id long, digest binary, full string, {FILE} long, {ROW} long")
 
 
 def _build(folder: str):
@@ -116,18 +124,17 @@ def _screen(folder: str):
 
 def _keyed(df: DataFrame, shards: int) -> DataFrame:
     key = F.xxhash64("digest")
-    return df.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("key"), *df.columns).repartition(
-        min(shards, partitions(df.sparkSession)), "shard"
-    ).sortWithinPartitions("shard")
+    df = df.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("key"), *df.columns)
+    return dealt(df, F.col("shard"), shards).sortWithinPartitions("shard")
 
 
-_DISTINCT = "digest binary, n long, first struct<id_null:boolean,doc_id:bigint,uid:bigint>"
+_DISTINCT = f"digest binary, n long, first struct<id_null:boolean,doc_id:bigint,{FILE}:bigint,{ROW}:bigint>"
 
 
-def distinct_digests(rows: DataFrame) -> DataFrame:
-    """digest, rows and the row that stays (smallest id, then the earliest row)."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("id_null"), "doc_id", "uid"))
-    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+def distinct_digests(rows: DataFrame, *by: str) -> DataFrame:
+    """digest, rows and the row that stays (smallest id, then the first in place)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("id_null"), "doc_id", FILE, ROW))
+    return rows.groupBy(*(by or ["digest"])).agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
 
 
 class Snapshot:
@@ -137,81 +144,170 @@ class Snapshot:
         self.folder, self.shards, self.rows = folder, shards, rows
 
     @classmethod
-    def build(cls, rows: DataFrame, shard_keys: int = SHARD_KEYS) -> Snapshot:
-        spark = rows.sparkSession
-        folder = shared_dir(spark)
+    def build(cls, rows: DataFrame, shard_keys: int = SHARD_KEYS, folder: str | None = None) -> Snapshot:
+        """Of ``digests`` rows; ``folder`` is a new one in shared storage."""
+        folder = folder or shared_dir(rows.sparkSession)
         distinct_digests(rows).write.parquet(f"{folder}/digests")
-        found = spark.read.schema(_DISTINCT).parquet(f"{folder}/digests")
+        found = rows.sparkSession.read.schema(_DISTINCT).parquet(f"{folder}/digests")
         shards = max(1, -(-found.count() // shard_keys))
         _keyed(found.select("digest"), shards).select("shard", "key").mapInArrow(_build(f"{folder}/filters"), "shard int, keys long, size long").write.parquet(f"{folder}/built")
+        write_file(f"{folder}/snapshot.json", json.dumps({"shards": shards}).encode())
         return cls(folder, shards, found)
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Snapshot:
+        """A snapshot that was built earlier."""
+        return cls(folder, json.loads(read_file(f"{folder}/snapshot.json"))["shards"], spark.read.schema(_DISTINCT).parquet(f"{folder}/digests"))
+
     def screen(self, incoming: DataFrame) -> DataFrame:
         """Distinct incoming digests with ``maybe``: false is certain absence."""
         return _keyed(incoming, self.shards).mapInArrow(_screen(f"{self.folder}/filters"), f"{_DISTINCT}, maybe boolean")
 
+    def split(self, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Distinct incoming digests that are in the snapshot (with its row that stays as
+        ``held``, and its rows ``n_held``), and those that aren't."""
+        screened = written(self.screen(incoming), "screened")
+        maybe = screened.where("maybe").drop("maybe")
+        old = self.rows.select("digest", F.col("n").alias("n_held"), F.col("first").alias("held"))
+        hits = written(old.join(checked_broadcast(maybe), "digest"), "hits")
+        false_hits = maybe.join(checked_broadcast(hits.select("digest")), "digest", "left_anti")
+        return hits, screened.where("not maybe").drop("maybe").unionByName(false_hits)
+
+
+def new_texts(docs: DataFrame, snapshots: list[Snapshot]) -> DataFrame:
+    """The rows of a batch whose text no snapshot has, one of each group of equal texts
+    (equal SHA-256; a stored snapshot keeps no texts to compare bytes with)."""
+    docs = standing(docs)
+    rows = written(digests(docs), "digests")
+    fresh = distinct_digests(rows)
+    for s in snapshots:
+        fresh = written(s.split(fresh)[1], "fresh")
+    stay = fresh.select(F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{ROW}").alias(ROW))
+    return without(docs, rows.select(FILE, ROW).join(checked_broadcast(stay), [FILE, ROW], "left_anti"))
+
 
 def _groups(rows: DataFrame, shard_keys: int) -> DataFrame:
     """Digest, rows and the row that stays, of every digest of two rows or more."""
     snap = Snapshot.build(rows.where("not incoming"), shard_keys)
-    new = distinct_digests(rows.where("incoming"))
-    screened = written(snap.screen(new), "screened")
-    hits = screened.where("maybe").drop("maybe")
-    old = snap.rows.select("digest", F.col("n").alias("n0"), F.col("first").alias("first0"))
-    met = old.join(checked_broadcast(hits), "digest", "left").select("digest", (F.col("n0") + F.coalesce("n", F.lit(0))).alias("n"), F.least("first0", F.coalesce("first", "first0")).alias("first"))
-    false_hits = hits.join(snap.rows.select("digest"), "digest", "left_anti")
-    fresh = screened.where("not maybe").drop("maybe").unionByName(false_hits)
+    hits, fresh = snap.split(distinct_digests(rows.where("incoming")))
+    hits = hits.select("digest", F.col("n").alias("n1"), F.col("first").alias("first1"))
+    met = snap.rows.join(checked_broadcast(hits), "digest", "left")
+    met = met.select("digest", (F.col("n") + F.coalesce("n1", F.lit(0))).alias("n"), F.least("first", F.coalesce("first1", "first")).alias("first"))
     return met.unionByName(fresh).where("n > 1")
 
 
-def _byte_checked(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Members (uid, doc_id, digest, keep) whose bytes differ from the kept row's, with text."""
-    ids = members.where("doc_id is not null and first.doc_id is not null").select("doc_id", "digest", "n", F.col("first.doc_id").alias("rep")).distinct()
-    norm = F.regexp_replace(empty_if_null("text"), r"[\x20\x09-\x0D]+", " ")
-    d = docs.select("doc_id", F.col("text")).join(checked_broadcast(ids), "doc_id").select("doc_id", "rep", "digest", "n", norm.alias("t"))
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    reps = d.where("doc_id = rep").dropDuplicates(["doc_id", "digest"]).select("rep", "digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("t").alias("rep_t"))
-    mine = d.where("doc_id != rep").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
-    return mine.join(reps, ["rep", "digest", "salt"]).where("t != rep_t").select("doc_id", "digest", "t")
+def _members(folder: str, collapse: bool):
+    """Normalised texts of the rows that have an answer: each of them (with its place), or in a
+    task one a bucket, and a mark for each that differs from it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = Answers(folder)
+        held: dict[int, bytes] = {}
+        size = 0
+        for b in batches:
+            files, rows = b.column(2).to_numpy(), b.column(3).to_numpy()
+            hit, col = answers.find(files, rows, "g", "salts")
+            for ch in tk.chunks(b.column(1).filter(pa.array(hit))):
+                at = np.flatnonzero(hit)[ch.lo : ch.hi]
+                buf, offs = normalised(ch)
+                data, o = buf.tobytes(), offs.tolist()
+                texts = [data[s:e] for s, e in zip(o, o[1:])]
+                g, salt, mixed = col["g"][at], (tk.mix(rows[at].view(np.uint64)) % col["salts"][at].view(np.uint64)).astype(np.int32), np.zeros(len(at), bool)
+                if collapse:
+                    send = []
+                    for i, (k, t) in enumerate(zip(g.tolist(), texts)):
+                        if (first := held.get(k)) is None:
+                            if size > HELD:
+                                held, size = {}, 0
+                            held[k] = t
+                            size += len(t) + 100
+                            send.append(i)
+                        elif first != t:
+                            mixed[i] = True
+                            send.append(i)
+                    at, g, salt, mixed, texts = at[send], g[send], salt[send], mixed[send], [texts[i] for i in send]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(at)), pa.array(g), pa.array(salt), pa.array(mixed), pa.array(texts, pa.binary()), pa.array(files[at]), pa.array(rows[at])],
+                    ["doc_id", "g", "salt", "mixed", "t", FILE, ROW],
+                )
 
-def groups(docs: DataFrame, digest_size: int = 32, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """One row per document: uid, doc_id, keep_id, group_size, kept, text_sha256. The lower
-    half of the id range is the snapshot, the rest (and null ids) the incoming batch."""
+    return run
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, salt, mixed, text) sorted by both: the first of each run, mixed if any is or differs."""
+    at = text = None
+    mixed = False
+    for b in batches:
+        out = []
+        for g, salt, m, t in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if (g, salt) != at:
+                if at is not None:
+                    out.append((at[0], mixed, text))
+                at, mixed, text = (g, salt), m, t
+            else:
+                mixed = mixed or m or t != text
+        yield _heads(out)
+    if at is not None:
+        yield _heads([(at[0], mixed, text)])
+
+
+def _heads(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    g, m, t = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(m, pa.bool_()), pa.array(t, pa.binary())], ["g", "mixed", "t"])
+
+
+def _unequal(docs: DataFrame, members: str) -> DataFrame:
+    """The buckets (g) that hold unequal texts."""
+    schema = f"doc_id long, g long, salt int, mixed boolean, t binary, {FILE} long, {ROW} long"
+    t = placed(docs, "doc_id", "text").mapInArrow(_members(members, True), schema).select("g", "salt", "mixed", "t")
+    for part in ("salt", None):  # parts of a bucket, then their first texts
+        t = t if part else t.select("g", F.lit(0).alias("salt"), "mixed", "t")
+        t = t.repartition(partitions(docs.sparkSession), "g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_compared, "g long, mixed boolean, t binary")
+        if part:
+            t = t.withColumn("salt", F.lit(0)).select("g", "salt", "mixed", "t")
+    return written(t.where("mixed").select("g").distinct(), "unequal")
+
+
+def _decided(docs: DataFrame, digest_size: int, shard_keys: int) -> DataFrame:
+    """Of every row of a ``standing`` table: place, doc_id, text_sha256, and its group's rows
+    (null: one) and row that stays."""
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     mid = None if lo is None else lo + (hi - lo) // 2
-    rows = written(digests(docs, digest_size).withColumn("uid", F.monotonically_increasing_id()), "digests")
+    rows = written(digests(docs, digest_size), "digests")
     rows = rows.withColumn("incoming", F.coalesce(F.col("doc_id") > F.lit(mid).cast("long"), F.lit(True)))
-    g = checked_broadcast(written(_groups(rows, shard_keys), "groups"))
-    members = rows.join(g, "digest")
-    odd = written(_byte_checked(docs, members), "unequal")
+    g = written(_groups(rows, shard_keys).withColumn("g", F.monotonically_increasing_id()), "groups")
+    members = keyed_join(rows.select("digest", FILE, ROW), g.select("digest", "n", "g"), "digest", "n")
+    members = store(members.select(FILE, ROW, "g", F.ceil(F.sqrt("n")).cast("long").alias("salts")))
+    odd = _unequal(docs, members)
     sha = F.coalesce("full", F.lower(F.hex("digest"))).alias("text_sha256")
+    out = keyed_join(rows, g, "digest", "n", "left").select(FILE, ROW, "doc_id", sha, "n", "first", "g")
     if odd.isEmpty():
-        out = rows.join(g, "digest", "left")
-    else:  # equal digests, unequal bytes: these rows leave their bucket and form their own
-        key = F.concat(F.col("digest"), F.encode("t", "utf-8"))
-        moved = odd.groupBy("doc_id", "digest").agg(F.min(key).alias("own"))
-        rows = rows.join(moved, ["doc_id", "digest"], "left").withColumn("digest0", F.col("digest")).withColumn("digest", F.coalesce("own", "digest")).drop("own")
-        out = rows.join(distinct_digests(rows), "digest", "left").withColumn("digest", F.col("digest0"))
-    keep = F.coalesce(F.col("first.doc_id"), F.col("doc_id"))
-    return out.select("uid", "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("first.uid") == F.col("uid"), F.lit(True)).alias("kept"), sha)
+        return out.drop("g")
+    # equal digests, unequal bytes: all rows of such a bucket are grouped by their bytes
+    odd = checked_broadcast(odd)
+    again = store(out.join(odd, "g").select(FILE, ROW, "g", F.lit(1).cast("long").alias("salts")))
+    schema = f"doc_id long, g long, salt int, mixed boolean, t binary, {FILE} long, {ROW} long"
+    t = written(placed(docs, "doc_id", "text").mapInArrow(_members(again, False), schema), "again")
+    exact = t.select("g", "t", FILE, ROW).join(distinct_digests(t, "g", "t"), ["g", "t"]).select(FILE, ROW, "n", "first")
+    anew = out.join(odd, "g").drop("n", "first", "g").join(exact, [FILE, ROW])
+    return out.join(odd, "g", "left_anti").drop("g").unionByName(anew)
+
+
+def groups(docs: DataFrame, digest_size: int = 32, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. The lower
+    half of the id range is the snapshot, the rest (and null ids) the incoming batch."""
+    return _shown(_decided(standing(docs), digest_size, shard_keys)).drop(FILE, ROW)
+
+
+def _shown(d: DataFrame) -> DataFrame:
+    alone = F.col("n").isNull()
+    first = (F.col(f"first.{FILE}") == F.col(FILE)) & (F.col(f"first.{ROW}") == F.col(ROW))
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.coalesce(F.col("first.doc_id"), F.col("doc_id")))
+    return d.select(FILE, ROW, "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (alone | first).alias("kept"), "text_sha256")
 
 
-def unique(docs: DataFrame, **how) -> DataFrame:
+def unique(docs: DataFrame, digest_size: int = 32, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    g = written(groups(docs, **how), "verdicts")
-    gone = g.groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("rows"))
-    gone = written(gone.where("stay < rows"), "gone")
-    plain = gone.where("stay = 0").select(F.col("doc_id").alias("__x_gone"))
-    out = docs.join(checked_broadcast(plain), F.col("doc_id").eqNullSafe(F.col("__x_gone")), "left_anti")
-    some = gone.where("stay > 0").select(F.col("doc_id").alias("__x_some"))
-    if some.isEmpty():
-        return out
-    # ids of which one row stays and others go: repeated rows, decided by their text
-    some = checked_broadcast(some)
-    same = F.col("doc_id").eqNullSafe(F.col("__x_some"))
-    stay = g.where("kept").join(some, same, "left_semi").select(F.col("doc_id").alias("__x_id"), F.unhex("text_sha256").alias("__x_digest"))
-    norm = F.unhex(F.sha2(F.regexp_replace(empty_if_null("text"), r"[\x20\x09-\x0D]+", " "), 256))
-    once = out.join(some, same, "left_semi").withColumn("__x_digest0", norm).dropDuplicates(["doc_id", "__x_digest0"])
-    once = once.join(stay, F.col("doc_id").eqNullSafe(F.col("__x_id")) & (F.col("__x_digest0") == F.col("__x_digest")), "left_semi").select(*docs.columns)
-    return out.join(some, same, "left_anti").unionByName(once)
+    docs = standing(docs)
+    return without(docs, _shown(_decided(docs, digest_size, shard_keys)).where("not kept"))

@@ -41,7 +41,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import groups
 
-    return groups(table(spark, sf_dir, "documents")).drop("uid")
+    return groups(table(spark, sf_dir, "documents"))
 
 
 @query()
