@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from tokenloom.llm import warc
+from tokenloom.llm import common, warc
 from tokenloom.llm.common import shared_dir
 
 PAGES = ["<html>" + "x" * 300, "<html>" + "x" * 300, "short", "short", "", None, "é" * 40_000, "<p>" + "long " * 30_000, "<html>" + "x" * 300]
@@ -46,3 +46,19 @@ def test_lost_segment_and_bad_framing(spark, pages):
             warc.dechunked(bad)
     assert warc.dechunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
     assert warc.dechunked(warc.chunked(b"z" * 20_000, 7)) == b"z" * 20_000
+
+
+def test_hot_payload_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    html = ["<p>" + "z" * 150] * 300 + [f"<p>{i // 2}" + "y" * 150 for i in range(40)]
+    d = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").repartition(3)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(d).collect()}
+    first = {h: i for i, h in reversed(list(enumerate(html)))}
+    assert got == {i: ("response", None) if first[h] == i else ("revisit", first[h]) for i, h in enumerate(html)}
+
+
+def test_a_page_of_50_mb(spark):
+    html = "0123456789abcdef" * (50 << 16)
+    d = spark.createDataFrame([(1, html), (2, "small")], "page_id long, html string").coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(d).collect()}
+    assert got == {i: (len(h), hashlib.sha256(h.encode()).hexdigest()) for i, h in ((1, html), (2, "small"))}

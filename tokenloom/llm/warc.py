@@ -6,17 +6,20 @@ bytes: the first has the origin's id and segment number 1, the rest are continua
 records, the last of them with the total length. Archives are gzip members, one a
 record, rotated at ``archive_bytes``; each is written whole and then renamed, so a task
 that is repeated leaves the same files. Reading parses archives in parallel; only the
-blocks of segmented records are shuffled, by origin id, ordered by segment number and
-verified against the total length, then the chunked framing is decoded.
+blocks of segmented records are shuffled, by origin id, ordered by segment number, joined
+once at a record's end, verified against the total length, and the chunked framing is decoded.
 
 Equal payloads of ``least`` bytes or more: the smallest page_id is the response and the
-others revisit it. Digests are aggregated before any join, and only digests that occur
-twice are joined back, so a hot payload is no hot task.
+others revisit it. A first scan keeps digests only; they are aggregated before any join, only
+digests that occur twice are joined back to these narrow rows (hot ones apart from the
+rest), and which rows revisit what comes back to the scan that writes by place
+(``places``). So no html is shuffled, and a hot payload is no hot task.
 
 Cases: null html is an empty payload; repeated rows (equal page_id and payload): one is
 the response and the others revisit their own id; rows without a page_id are written
 and read like others (they refer to the group's smallest id, or to nothing if none has
-one). A truncated, gapped or ill-framed record raises. An empty table writes nothing.
+one). Pages of any length are written and read whole, by one task each. A truncated, gapped
+or ill-framed record raises. An empty table writes nothing. Further columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, read_file, shared_dir, write_file, written
+from .common import empty_if_null, keyed_join, partitions, read_file, shared_dir, write_file, written
+from .places import FILE, ROW, Answers, placed, standing, store
 
 SEGMENT = 16 << 10
 CHUNK = 8 << 10
@@ -91,9 +95,9 @@ def _id(pid: int, n: int) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def _write(folder: str, segment: int, archive: int):
+def _write(folder: str, revisits: str, segment: int, archive: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
+        pid, answers = TaskContext.get().partitionId(), Answers(revisits)
         parts: list[bytes] = []
         held = files = rows = 0
 
@@ -106,15 +110,17 @@ def _write(folder: str, segment: int, archive: int):
             return out
 
         for b in batches:
-            for r in b.to_pylist():
-                payload, origin = r["html"], _id(pid, rows)
+            hit, col = answers.find(b.column(2).to_numpy(), b.column(3).to_numpy(), "known", "refers_to")
+            for i, (page_id, html) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                payload, origin = (html or "").encode(), _id(pid, rows)
                 rows += 1
-                page = "" if r["page_id"] is None else str(r["page_id"])
-                common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("X-Page-Id", page), ("WARC-Payload-Digest", f"sha256:{r['payload_digest']}")]
-                kind = [("WARC-Type", r["record_type"])]
-                if r["record_type"] == "revisit":
-                    ref = "" if r["refers_to"] is None else str(r["refers_to"])
-                    kind += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To", ref), ("X-Payload-Length", str(r["payload_bytes"]))]
+                page = "" if page_id is None else str(page_id)
+                digest = hashlib.sha256(payload).hexdigest()
+                common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("X-Page-Id", page), ("WARC-Payload-Digest", f"sha256:{digest}")]
+                kind = [("WARC-Type", "revisit" if hit[i] else "response")]
+                if hit[i]:
+                    ref = str(col["refers_to"][i]) if col["known"][i] else ""
+                    kind += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To", ref), ("X-Payload-Length", str(len(payload)))]
                     blocks = [HTTP]
                 else:
                     whole = HTTP + chunked(payload)
@@ -191,43 +197,67 @@ _RECORD = "origin string, number int, total long, page_id long, record_type stri
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def _payload(payloads: bool):
+def _reassembled(payloads: bool):
+    """Segments sorted by origin and number to finished records; one record is held at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict = {}
+        blocks: list[bytes] = []
+        out: list[tuple] = []
+        held = 0
+
+        def finish():
+            if first["number"] != 1 or first["total"] is None:
+                raise ValueError(f"missing segment of {first['origin']}")
+            n, digest, payload = _finished(first | {"block": b"".join(blocks)})
+            return first["page_id"], n, digest, first["record_type"], first["refers_to"], payload if payloads else None
+
         for b in batches:
-            rows = []
             for r in b.to_pylist():
-                n, digest, payload = _finished(r)
-                rows.append((r["page_id"], n, digest, r["record_type"], r["refers_to"], payload if payloads else None))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                if r["origin"] != first.get("origin"):
+                    if first:
+                        out.append(finish())
+                        held += len(out[-1][5] or b"") + 200
+                    first, blocks = r, []
+                elif r["number"] != len(blocks) + 1:
+                    raise ValueError(f"missing segment of {r['origin']}")
+                else:
+                    first["total"] = r["total"]
+                blocks.append(r["block"])
+                if held > 4 << 20:
+                    yield _out(out)
+                    out, held = [], 0
+        if first:
+            out.append(finish())
+        if out:
+            yield _out(out)
 
     return run
 
 
-def planned(pages: DataFrame, least: int = 100) -> DataFrame:
-    """``pages`` as page_id, html (binary), payload_bytes, payload_digest, record_type, refers_to."""
-    html = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    p = pages.select("page_id", html.alias("html"), F.monotonically_increasing_id().alias("_uid"))
-    p = p.select("*", F.length("html").cast("long").alias("payload_bytes"), F.sha2("html", 256).alias("payload_digest"))
-    narrow = written(p.select("page_id", "_uid", "payload_bytes", F.unhex("payload_digest").alias("d")), "digests")
-    key = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_uid")).alias("first")
-    again = narrow.where(F.col("payload_bytes") >= least).groupBy("d").agg(key, F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Rows are found again by their digest, which a repeated scan recomputes; the response
-    # by its id and, among rows that repeat it, by the row's number in this table's scan.
-    again = checked_broadcast(written(again.select(F.lower(F.hex("d")).alias("payload_digest"), "first"), "again"))
-    j = p.join(again, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
-    same = F.col("first").isNotNull() & F.col("first.page_id").eqNullSafe(F.col("page_id")) & (F.col("first._uid") != F.col("_uid"))
-    return j.select(
-        "page_id", "html", "payload_bytes", "payload_digest",
-        F.when(revisit | same, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit | same, F.col("first.page_id")).alias("refers_to"),
-    )
+def _out(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
+
+def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
+    """Place of each row of a ``standing`` table whose payload another row has as response,
+    that row's page_id (``refers_to``, 0 if it has none) and whether it has one (``known``)."""
+    html = F.encode(empty_if_null("html"), "utf-8")
+    narrow = placed(pages, "page_id", "html").select("page_id", FILE, ROW, F.length(html).alias("bytes"), F.unhex(F.sha2(html, 256)).alias("d"))
+    narrow = written(narrow.where(F.col("bytes") >= least).drop("bytes"), "digests")
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", FILE, ROW)).alias("first")
+    again = written(narrow.groupBy("d").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    other = (F.col(f"first.{FILE}") != F.col(FILE)) | (F.col(f"first.{ROW}") != F.col(ROW))
+    to = F.col("first.page_id")
+    return keyed_join(narrow, again, "d", "n").where(other).select(FILE, ROW, to.isNotNull().cast("long").alias("known"), F.coalesce(to, F.lit(0)).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT, archive_bytes: int = ARCHIVE, least: int = 100) -> DataFrame:
     """Write one record per page below ``folder``; the table of archives (path, size)."""
-    return written(planned(pages, least).mapInArrow(_write(folder, segment, archive_bytes), "path string, size long"), "archives")
+    pages = standing(pages)
+    answers = store(revisits(pages, least))
+    return written(placed(pages, "page_id", "html").mapInArrow(_write(folder, answers, segment, archive_bytes), "path string, size long"), "archives")
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
@@ -239,15 +269,8 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     whole = parts.where("number is null").select(
         "page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", F.col("block").alias("payload")
     )
-    seg = parts.where("number is not null").groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("number", "block"))).alias("s"), F.max("total").alias("total"),
-        *[F.max(c).alias(c) for c in ("page_id", "record_type", "refers_to", "digest", "length")],
-    )
-    gapless = (F.element_at("s", -1)["number"] == F.size("s")) & F.col("total").isNotNull()
-    ok = F.when(gapless, F.lit(None).cast("string")).otherwise(F.raise_error(F.concat(F.lit("missing segment of "), "origin")))
-    joined = F.aggregate("s", F.lit(b""), lambda acc, x: F.concat(acc, x["block"]))
-    seg = seg.where(ok.isNull()).select("origin", F.lit(1).alias("number"), "total", "page_id", "record_type", "refers_to", "digest", "length", joined.alias("block"))
-    return whole.unionByName(seg.mapInArrow(_payload(payloads), OUT))
+    seg = parts.where("number is not null").repartition(partitions(parts.sparkSession), "origin").sortWithinPartitions("origin", "number")
+    return whole.unionByName(seg.mapInArrow(_reassembled(payloads), OUT))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
