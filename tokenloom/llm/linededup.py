@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .common import partitions, read_file, shared_dir, write_file, written
+from .common import dealt, read_file, shared_dir, write_file, written
 from .places import BLOCK, FILE, ROW, Answers, placed, standing, store
 
-SHARD_KEYS = 1 << 20
+SHARD_KEYS = 1 << 18
 SALTS = 8
 NO_ID, LAST = -(1 << 63), (1 << 63) - 1
 _SALT = tk.mix(np.arange(1, 257, dtype=np.uint64) * tk.U(0xC2B2AE3D27D4EB4F))
@@ -274,7 +274,7 @@ class LineIndex:
         count = F.when(several, F.greatest("n", F.lit(2))).otherwise(1)
         g = g.select(cls._shard(shards), "h1", "h2", count.alias("n"), F.coalesce("lo", F.lit(NO_ID)).alias("owner"))
         folder = shared_dir(spark)
-        g = g.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard")
+        g = dealt(g, F.col("shard"), shards).sortWithinPartitions("shard")
         written(g.mapInArrow(_build(folder), "shard int, size long"), "built")
         return cls(folder, shards, keys)
 
@@ -282,7 +282,7 @@ class LineIndex:
         """The keys of two or more documents in each block of rows: place, h1, h2, owner."""
         salt = F.pmod(F.xxhash64(FILE, ROW), F.lit(SALTS)).cast("int")
         k = self.keys.select(self._shard(self.shards), salt.alias("salt"), "h1", "h2", FILE, ROW)
-        k = k.repartition(partitions(k.sparkSession), "shard", "salt").sortWithinPartitions("shard").drop("salt")
+        k = dealt(k, F.col("shard").cast("long") * SALTS + F.col("salt"), self.shards * SALTS).sortWithinPartitions("shard").drop("salt")
         return k.mapInArrow(_probe(self.folder), f"h1 long, h2 long, owner long, {FILE} long, {ROW} long")
 
 
