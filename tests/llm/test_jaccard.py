@@ -5,6 +5,7 @@ import pytest
 
 import brute
 from rows import make
+from tokenloom.llm import common
 from tokenloom.llm import jaccard as j
 from tokenloom.llm.components import components
 
@@ -65,6 +66,51 @@ def test_one_of_each(docs, texts):
     assert {r.doc_id: r.text for r in kept.collect()} == {i: texts[i] for i in want}
 
 
+def test_one_row_of_repeated_ones_stays(odd):
+    rows = j.one_of_each(odd).collect()
+    sets = [frozenset(brute.shingles(r.text)) for r in rows]
+    assert len(set(sets) - {frozenset()}) == len([x for x in sets if x])
+    assert len(rows) < odd.count()
+
+
+def boilerplate(n, seed):
+    """Texts of 60 shared and 100 own words (similarity 0.22), every tenth with a near copy."""
+    rng = random.Random(seed)
+    shared = " ".join(f"s{i}" for i in range(60))
+    out = []
+    for i in range(n):
+        own = [f"o{seed}x{i}x{k}" for k in range(100)]
+        out.append(shared + " " + " ".join(own))
+        if i % 10 == 0:
+            own[rng.randrange(100)] = "other"
+            out.append(shared + " " + " ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("n", [500, 1000])
+def test_boilerplate_forms_no_group(spark, n):
+    d = j.standing(make(spark, boilerplate(n, n)))
+    schema = f"doc_id long, n long, sa long, sb long, bands array<long>, {j.FILE} long, {j.ROW} long"
+    sets = j.written(j.placed(d, "doc_id", "text").mapInArrow(j._sets, schema), "sets")
+    members, tokens = j.members_of(d, sets, j.classes_of(sets))
+    groups = j.groups_of(tokens, 70)
+    assert members.count() > n // 2  # the bands let them through
+    sizes = [r["count"] for r in groups.groupBy("comp").count().collect()]
+    assert sorted(sizes) == [2] * (n // 10)  # pairs to compare: one for each near copy
+    assert sorted(r.n_similar for r in j.similar(d).collect()) == [0] * (n - n // 10) + [1] * (n // 5)
+
+
+def test_beyond_the_broadcast_limit(docs, texts, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    assert got(j.join(docs, one_task=0)) == brute.jaccard(list(enumerate(texts)))
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    long = " ".join(f"w{i}" for i in range(250_000))
+    texts = [long, "a b c d", long + " more", None]
+    assert got(j.similar(make(spark, texts))) == {0: (249_998, 1, 0), 1: (2, 0, 1), 2: (249_999, 1, 0), 3: (0, 0, 3)}
+
+
 def test_bands_at_the_threshold():
     """Pairs of exactly 70 %: all 2,000 meet in a band."""
     rng = np.random.default_rng(11)

@@ -40,7 +40,7 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def keyed_join(rows: DataFrame, small: DataFrame, on: str, weight: str, how: str = "inner") -> DataFrame:
+def keyed_join(rows: DataFrame, small: DataFrame, on: str | list[str], weight: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``small`` (written; one row a key, ``weight`` = how many of ``rows``
     have it). Up to ``BROADCAST_ROWS`` keys are broadcast. Beyond it, the keys of more than
     their share of rows are (fewer than ``BROADCAST_ROWS`` can be, as weights add up to the
@@ -50,7 +50,7 @@ def keyed_join(rows: DataFrame, small: DataFrame, on: str, weight: str, how: str
         return rows.join(F.broadcast(small), on, how)
     most = (small.agg(F.sum(weight)).first()[0] or 0) // max(limit, 1) + 1
     hot = F.broadcast(small.where(F.col(weight) > most))
-    rest = rows.join(hot.select(on), on, "left_anti").join(small.where(F.col(weight) <= most), on, how)
+    rest = rows.join(hot.select(*([on] if isinstance(on, str) else on)), on, "left_anti").join(small.where(F.col(weight) <= most), on, how)
     return rows.join(hot, on).unionByName(rest)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keyed_join, written
 
 #: Up to so many edges (16 bytes each) one task finds all components; beyond it, stars do.
 ONE_TASK_EDGES = 2_000_000
@@ -42,11 +42,17 @@ def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["node", "root"])
 
 
+def _lows(e: DataFrame, name: str) -> DataFrame:
+    """Smallest neighbour and number of edges of each node."""
+    return written(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), name)
+
+
 def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES, rounds: int = 200) -> DataFrame:
     """(node, root) of every node of ``edges`` (written; columns a, b): root is the smallest
     node reachable. Beyond ``one_task`` edges, large and small stars alternate (two
     aggregations and joins a round, O(log n) rounds; partial minima before every
-    shuffle, so a hub is no hot task); ``rounds`` is a guard that isn't reached."""
+    shuffle, and hubs are joined apart from the rest, so a hub is no hot task). Raises if
+    ``rounds`` aren't enough."""
     if edges.count() <= one_task:
         return written(edges.select("a", "b").coalesce(1).mapInArrow(_one_task, "node long, root long"), "roots")
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -54,15 +60,16 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES, rounds: int = 2
     state = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = keyed_join(both, _lows(both, "low"), "u", "c").withColumn("m", F.least("u", "m"))
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        small = keyed_join(large, _lows(large, "low"), "u", "c").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         e = written(small.where("u != v").distinct(), "small")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components aren't found after {rounds} rounds")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return written(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "roots")

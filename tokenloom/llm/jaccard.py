@@ -1,26 +1,34 @@
 """N-gram Jaccard self-join by signature trees.
 
-A document's set is its distinct 3-word shingles (hashed, 64 bits). Sets are grouped so
-that sets of Jaccard similarity ``percent`` or more share a group: ``BANDS`` bands of
-``ROWS`` minima each; two sets at the threshold of 70 % miss every band with probability
-(1 - 0.7**ROWS)**BANDS, below 1e-11, and closer ones with less. Equal band keys become star
-edges to the smallest document (first within a task, so a key sends one row per task to
-the shuffle), and connected components of these edges are the groups: every set is in one
-group, shipped once. Equal sets of a group become one class with a count.
-
-Within a group a signature tree is built: leaves are sets with a bitmap of their tokens
-(those that two sets of the group have), inner nodes hold the OR of eight children,
-size ranges and the largest number of tokens that share bits. A dual traversal keeps a
-pair of nodes only if sizes can match and the common bits allow the overlap that the
-smallest sizes need; pairs of leaves are verified exactly. Groups beyond ``BLOCK``
-shingles are split into blocks by size and hash, and all pairs of blocks of compatible
-sizes are traversed, each by its own task: exact at every size, without gathering a group.
+A document's set is its distinct 3-word shingles (hashed, 64 bits); equal sets are one class
+with a count. Classes meet in three steps, none of which decides a link:
+
+1. Screen: ``BANDS`` bands of ``ROWS`` minima each; a class that shares no band with
+   another has no link (two sets at the threshold of 70 % miss every band with probability
+   (1 - 0.7**ROWS)**BANDS, below 1e-11, and closer ones with less). What is left is read
+   again, and only that; classes that no chain of bands connects never meet again.
+2. Groups: in each such chain, shingles are ordered by the number of classes that have them, rarest first (the
+   at most 2 * ``SHARES`` most frequent ones last). Two sets that link share one of the first |x| - ceil(percent * |x|) + 1 shingles of each
+   (exactly, no probability). Star edges from equal shingles of these prefixes make the
+   groups. Texts that share boilerplate only have shingles of their own enough to fill
+   their prefixes, so they form no group, however many they are.
+3. Trees: within a group a signature tree is built: leaves are sets with a bitmap of their
+   tokens (those that two sets of the group have), inner nodes hold the OR of eight
+   children, size ranges and the largest number of tokens that share bits. A dual traversal
+   keeps a pair of nodes only if sizes can match and the common bits allow the overlap that
+   the smallest sizes need; pairs of leaves are verified exactly. Groups beyond ``BLOCK``
+   shingles are split into blocks by size and hash, and all pairs of blocks of compatible
+   sizes are traversed, each by its own task: exact at every size, without gathering a group.
+
+The most frequent shingles take no part in the shuffle by shingle, large classes and hubs are
+joined apart from the rest (``keyed_join``), and rows are told apart by place (``places``), so no text is shuffled.
 
 Cases: null or empty text, or white space only, has an empty set: linked with nothing, its
 own component. One or two words are one shingle. Rows without an id take part; their
 ``doc_id`` stays null, and a component of such rows alone has a null ``component_id``.
-Repeated rows are documents of their own that share an id. An empty table gives an empty
-result. Further columns aren't looked at.
+Repeated rows are documents of their own that share an id, and so are different texts under
+one id. Texts of any length are read whole. An empty table gives an empty result. Further
+columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -29,17 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, partitions, written
+from .common import checked_broadcast, keyed_join, partitions, written
 from .components import components, local_roots
+from .places import FILE, ROW, Answers, placed, standing, store, without
 from .tokencache import forget
+from .wavelet import binaries
 
 ROWS, BANDS = 4, 96
 BLOCK = 1 << 20
-NO_ID = 1 << 62
+SHARES = 1 << 17
 _A = (tk.mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | tk.U(1)).astype(np.uint32)
 _B = tk.mix(np.arange(7001, 7001 + ROWS * BANDS, dtype=np.uint64)).astype(np.uint32)
 
@@ -105,8 +115,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(offs)
             kept = np.where(n > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(keys[n > 0].ravel()))
-            ids = [b.column(i).slice(ch.lo, ch.n) for i in (0, 2)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(n), pa.array(sa), pa.array(sb), lists], ["k", "doc_id", "n", "sa", "sb", "bands"])
+            ids, files, rows = (b.column(i).slice(ch.lo, ch.n) for i in (0, 2, 3))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(sa), pa.array(sb), lists, files, rows], ["doc_id", "n", "sa", "sb", "bands", FILE, ROW])
 
 
 def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,6 +131,7 @@ def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, key or keys) to edges to the smallest node of each key met, and these."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush():
@@ -132,10 +143,13 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     size = 0
     for b in batches:
-        lists = b.column(1)
-        key = lists.flatten().to_numpy()
+        node, key = b.column(0).to_numpy(), b.column(1)
+        if pa.types.is_list(key.type):
+            node = np.repeat(node, key.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            key = key.flatten()
+        key = key.to_numpy()
         if len(key):
-            held.append((key, np.repeat(b.column(0).to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))))
+            held.append((key, node))
             size += len(key)
         if size > 1 << 22:
             yield from flush()
@@ -144,6 +158,15 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def star_edges(nodes: DataFrame, name: str) -> DataFrame:
+    """Edges (a, b; written) that connect the nodes of each key of ``nodes`` (node, key or
+    list of keys): first within a task, so a key sends one row a task to the shuffle."""
+    stars = written(nodes.mapInArrow(_local_stars, "edge boolean, x long, y long"), "stars")
+    heads = stars.where("not edge").select("x", "y").repartition(partitions(nodes.sparkSession), "x").sortWithinPartitions("x", "y")
+    edges = stars.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(heads.mapInArrow(_sorted_stars, "a long, b long"))
+    return written(edges.distinct(), name)
+
+
 def _sorted_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, document) sorted by both to distinct edges; a run may span batches."""
     last_key = last_doc = None
@@ -299,28 +322,112 @@ def links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, pe
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _group_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of groups to their sets; rows whose text is another one's (ids that repeat)
-    are left out by the set's name."""
-    forget()
+def _member_sets(folder: str):
+    """The sets of the rows that stand for a class; equal tokens of two chains differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        answers = Answers(folder)
+        for b in batches:
+            hit, col = answers.find(b.column(1).to_numpy(), b.column(2).to_numpy(), "chain", "node", "n", "m")
+            for ch in tk.chunks(b.column(0).filter(pa.array(hit))):
+                g, offs = shingle_sets(ch)
+                at = np.flatnonzero(hit)[ch.lo : ch.hi]
+                if (np.diff(offs) != col["n"][at]).any():
+                    raise RuntimeError("a row isn't where it was")
+                g = tk.mix(g ^ np.repeat(tk.mix(col["chain"][at].view(np.uint64)), np.diff(offs)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(col[c][at]) for c in ("node", "n", "m")), binaries(g, offs)], ["node", "n", "m", "tokens"])
+
+    return run
+
+
+def _flat(b: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a batch of sets, and how many each row has."""
+    buf, offs = tk.string_buffers(b.column(column))
+    return np.ascontiguousarray(buf).view(np.int64), np.diff(offs) // 8
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens that make up more than their share of a batch, with their number there."""
     for b in batches:
-        for ch in tk.chunks(b.column(0)):
-            g, offs = shingle_sets(ch)
-            sa, sb = set_marks(g, offs)
-            rest = b.slice(ch.lo, ch.n)
-            same = (rest.column(1).to_numpy() == sa) & (rest.column(2).to_numpy() == sb)
-            data, at = g.tobytes(), offs.tolist()
-            sets = pa.array([data[8 * s : 8 * e] for s, e in zip(at, at[1:])], pa.binary())
-            cols = [*rest.columns[3:], sets]
-            yield pa.RecordBatch.from_arrays(cols, [*rest.schema.names[3:], "tokens"]).filter(pa.array(same))
+        all_, _ = _flat(b, 0)
+        t, c = np.unique(all_, return_counts=True)
+        often = c > len(all_) / (2 * SHARES)
+        yield pa.RecordBatch.from_arrays([pa.array(t[often]), pa.array(c[often])], ["token", "c"])
+
+
+def _occurrences(frequent, hot: bool):
+    """(token, node, n, rank) of the frequent tokens, or of the others (rank 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ranks = frequent.value
+        for b in batches:
+            t, c = _flat(b, 2)
+            at = np.searchsorted(tokens, t) if len(tokens) else np.zeros(len(t), np.int64)
+            at = np.minimum(at, max(len(tokens) - 1, 0))
+            known = tokens[at] == t if len(tokens) else np.zeros(len(t), bool)
+            mine = known == hot
+            rank = ranks[at[mine]] if hot else np.zeros(int(mine.sum()), np.int64)
+            cols = [t[mine], np.repeat(b.column(0).to_numpy(), c)[mine], np.repeat(b.column(1).to_numpy(), c)[mine], rank]
+            for i in range(0, len(cols[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in cols], ["token", "node", "n", "rank"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], step) -> Iterator[pa.RecordBatch]:
+    """``step`` over whole runs of the first column of sorted batches of longs; the last run
+    of a batch is held, as it may go on in the next."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        x = np.stack([c.to_numpy() for c in b.columns])
+        if not x.shape[1]:
+            continue
+        if x[0, 0] != x[0, -1] or (held and held[-1][0, -1] != x[0, 0]):
+            x = np.concatenate([*held, x], 1)
+            last = int(np.searchsorted(x[0], x[0, -1]))
+            yield from step(x[:, :last])
+            held = [x[:, last:]]
+        else:
+            held.append(x)
+    if held:
+        yield from step(np.concatenate(held, 1))
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, node, n) sorted by token, with the number of sets that have the token, if
+    there are others than this."""
+
+    def step(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if x.shape[1]:
+            cut = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
+            count = np.diff(np.concatenate([cut, [x.shape[1]]]))
+            df = np.repeat(count, count)
+            some = df > 1
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (*x[:3], df)], ["token", "node", "n", "rank"])
+
+    return _runs(batches, step)
+
+
+def _prefixes(percent: int):
+    """Rows (node, n, token) of tokens that other sets have, sorted by node and rarest first, to
+    those of each set's prefix. One set is held at a time."""
+    return lambda batches: _runs(batches, lambda x: _first(x, percent))
+
+
+def _first(x: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    if x.shape[1]:
+        node, n, token = x
+        cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        count = np.diff(np.concatenate([cut, [len(node)]]))
+        prefix = n[cut] - -(-percent * n[cut] // 100) + 1
+        take = np.clip(prefix - (n[cut] - count), 0, count)  # tokens of its own come first
+        mine = np.arange(len(node)) - np.repeat(cut, count) < np.repeat(take, count)
+        yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(token[mine])], ["node", "key"])
 
 
 def _join_runs(percent: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        seen = {r[4]: r for r in rows}  # repeated rows come twice
-        rows = list(seen.values())
-        if len(rows) < 2:
-            return None
         node, n, m = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
         side = np.array([bool(r[3]) for r in rows]) if rows[0][1] != rows[0][2] else None
         i, j = links([np.frombuffer(r[7], np.uint64) for r in rows], n, side, percent)
@@ -352,11 +459,6 @@ def _join_runs(percent: int):
     return run
 
 
-def _key() -> Column:
-    made = F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    return F.coalesce(F.col("doc_id").cast("long"), made)
-
-
 def _tasks(members: DataFrame, block: int) -> DataFrame:
     """``members`` (comp, node, n, ...) with the traversals (i, j, side) that they take part in."""
     sizes = members.groupBy("comp").agg(F.sum("n").alias("total"))
@@ -383,73 +485,91 @@ def _tasks(members: DataFrame, block: int) -> DataFrame:
     return small.unionByName(left).unionByName(right)
 
 
+def classes_of(sets: DataFrame) -> DataFrame:
+    """Equal sets: their first row (smallest id, then place) and how many they are; written."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("id_null"), "doc_id", FILE, ROW)).alias("first")
+    return written(sets.where("n > 0").groupBy("sa", "sb", "n").agg(first, F.count(F.lit(1)).alias("m")), "classes")
+
+
+def members_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """The classes that pass the screen, with their first row (node, n, m, sa, sb, first), and
+    their sets (node, n, m, tokens); both written."""
+    chains = components(star_edges(sets.where("n > 0").select("sa", "bands"), "near"), **how)
+    members = classes.join(checked_broadcast(chains.select(F.col("node").alias("sa"), F.col("root").alias("chain"))), "sa")
+    members = written(members.withColumn("node", F.monotonically_increasing_id()), "members")
+    at = store(members.select(F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{ROW}").alias(ROW), "chain", "node", "n", "m"))
+    return members, written(placed(docs, "text").mapInArrow(_member_sets(at), "node long, n long, m long, tokens binary"), "tokens")
+
+
+def frequent_tokens(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Every token that makes up more than 1 / ``SHARES`` of all, and some of those that make
+    up half of that or more: 2 * ``SHARES`` tokens at most. Their ranks come after all others'."""
+    part = tokens.select("tokens").mapInArrow(_frequent, "token long, c long")
+    all_ = tokens.agg(F.sum("n")).first()[0] or 0
+    t = part.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= all_ / (2 * SHARES)).orderBy("token").toArrow()
+    return t.column("token").to_numpy(), t.column("c").to_numpy() + (1 << 40)
+
+
+def groups_of(tokens: DataFrame, percent: int, **how) -> DataFrame:
+    """(node, comp) of the sets that share a prefix token with another one."""
+    spark, schema = tokens.sparkSession, "token long, node long, n long, rank long"
+    frequent = spark.sparkContext.broadcast(frequent_tokens(tokens))
+    t = tokens.select("node", "n", "tokens")
+    rest = t.mapInArrow(_occurrences(frequent, False), schema).drop("rank")
+    rest = rest.repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_ranked, schema)
+    each = rest.unionByName(t.mapInArrow(_occurrences(frequent, True), schema))
+    each = each.repartition(partitions(spark), "node").sortWithinPartitions("node", "rank", "token").select("node", "n", "token")
+    prefixes = each.mapInArrow(_prefixes(percent), "node long, key long")
+    return components(star_edges(prefixes, "edges"), **how).select("node", F.col("root").alias("comp"))
+
+
 def join(docs: DataFrame, percent: int = 70, block: int = BLOCK, one_task: int | None = None) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id of every document. ``percent`` must be 70
     or more (the bands' guarantee, and the blocks' size ranges, hold from there)."""
     if percent < 70:
         raise ValueError("the bands are made for thresholds of 70 % and more")
+    return _shown(_joined(standing(docs), percent, block, one_task))
+
+
+def _shown(d: DataFrame) -> DataFrame:
+    return d.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("n_similar").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+
+
+def _joined(docs: DataFrame, percent: int, block: int, one_task: int | None) -> DataFrame:
+    """Of every row: doc_id, place, n, and where it has a link n_similar and its component's first row."""
     how = {} if one_task is None else {"one_task": one_task}
-    keyed = docs.select(_key().alias("k"), "text", "doc_id")
-    sets = written(keyed.mapInArrow(_sets, "k long, doc_id long, n long, sa long, sb long, bands array<long>"), "sets")
-    stars = written(sets.select("k", "bands").mapInArrow(_local_stars, "edge boolean, x long, y long"), "stars")
-    heads = stars.where("not edge").select("x", "y").repartition(partitions(docs.sparkSession), "x").sortWithinPartitions("x", "y")
-    edges = stars.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(heads.mapInArrow(_sorted_stars, "a long, b long"))
-    groups = components(written(edges.distinct(), "edges"), **how)
-    # An id has no edge to itself: where it repeats, its rows are a group at least.
-    again = sets.where("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("k").alias("node"), F.col("k").alias("root"))
-    groups = written(groups.select("node", "root").unionByName(again.join(groups, "node", "left_anti")), "groups")
-    rows = sets.select("k", "n", "sa", "sb").join(checked_broadcast(groups.select(F.col("node").alias("k"), F.col("root").alias("comp"))), "k")
-    # Repeated ids of other texts meet here under one k; the set's name keeps them apart.
-    classes = rows.groupBy("comp", "sa", "sb", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m"))
-    classes = written(classes, "named")
-    clash = written(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep"), "clash")
-    clashes = not clash.isEmpty()
-    node = F.col("rep")
-    if clashes:  # classes that share a rep get nodes of their own
-        classes = classes.join(checked_broadcast(clash.withColumn("shared", F.lit(True))), "rep", "left")
-        node = F.when(F.col("shared"), F.xxhash64("rep", "sa", "sb", "n")).otherwise(node)
-    classes = written(classes.select("comp", "sa", "sb", "n", "rep", "m", node.alias("node")), "classes")
-    several = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("comp")
-    members = written(classes.join(checked_broadcast(written(several, "several")), "comp", "left_semi").select("comp", "sa", "sb", "rep", "node", "n", "m"), "members")
-    found = keyed.select("k", "text").join(checked_broadcast(members), F.col("k") == F.col("rep"))
-    tokens = found.select("text", "sa", "sb", "comp", "node", "n", "m").mapInArrow(_group_sets, "comp long, node long, n long, m long, tokens binary")
-    spread = _tasks_with_tokens(tokens, members, block)
+    schema = f"doc_id long, n long, sa long, sb long, bands array<long>, {FILE} long, {ROW} long"
+    sets = written(placed(docs, "doc_id", "text").mapInArrow(_sets, schema), "sets")
+    classes = classes_of(sets)
+    members, tokens = members_of(docs, sets, classes, **how)
+    groups = written(groups_of(tokens, percent, **how), "groups")
+    grouped = tokens.join(checked_broadcast(groups), "node")
+    tasks = written(_tasks(written(grouped.select("comp", "node", "n"), "grouped"), block).select("comp", "i", "j", "side", "node"), "tasks")
+    spread = tokens.join(checked_broadcast(tasks), "node").select("comp", "i", "j", "side", "node", "n", "m", "tokens")
     spread = spread.repartition(4 * partitions(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     found = written(spread.mapInArrow(_join_runs(percent), "a long, b long, links long"), "links")
-    degree = found.groupBy("a").agg(F.sum("links").alias("links"))
+    # Classes that link: their links and the first row of all that they reach.
     roots = components(found.select("a", "b"), **how)
-    if clashes:  # the root of a component is the smallest id of its classes, not of its nodes
-        roots = classes.select("node", "rep").join(roots, "node")
-        roots = roots.select("node", "root").join(roots.groupBy("root").agg(F.min("rep").alias("low")), "root").select("node", F.col("low").alias("root"))
-    out = classes.join(degree, F.col("node") == F.col("a"), "left").drop("a").join(roots, "node", "left")
-    out = written(out.select("comp", "sa", "sb", "n", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("root", "rep").alias("root")), "answers")
-    by_doc = rows.join(out, ["comp", "sa", "sb", "n"]).select("k", "sa", "sb", "n_similar", "root").distinct()
-    by_doc = checked_broadcast(written(by_doc, "by_doc"))
-    final = sets.select("k", "doc_id", "n", "sa", "sb").join(by_doc, ["k", "sa", "sb"], "left")
-    root = F.coalesce("root", "k")
-    return final.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
-        F.when(root < NO_ID, root).alias("component_id"), F.col("k").alias("_k"), root.alias("_root"),
-    )
-
-
-def _tasks_with_tokens(tokens: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """The sets with their traversals; sizes are taken from the narrow table."""
-    t = _tasks(members.select("comp", "node", "n"), block).select("comp", "i", "j", "side", "node")
-    if "i" in t.columns and members.groupBy("comp").agg(F.sum("n").alias("t")).where(F.col("t") > block).isEmpty():
-        zero = [F.lit(0).cast("long").alias(c) for c in ("i", "j")]
-        return tokens.select("comp", *zero, F.lit(False).alias("side"), "node", "n", "m", "tokens")
-    return tokens.join(checked_broadcast(written(t, "tasks")), ["comp", "node"]).select("comp", "i", "j", "side", "node", "n", "m", "tokens")
+    linked = roots.join(found.groupBy("a").agg(F.sum("links").alias("links")), F.col("node") == F.col("a"))
+    linked = written(linked.join(members, "node").select("root", "links", "sa", "sb", "n", "m", "first"), "linked")
+    low = written(linked.groupBy("root").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("c")), "lows")
+    linked = keyed_join(linked, low, "root", "c").select("sa", "sb", "n", "links", F.col("low").alias("first0"))
+    # Classes of several rows, or with links.
+    answers = classes.join(checked_broadcast(written(linked, "linked_classes")), ["sa", "sb", "n"], "left").where("m > 1 or links is not null")
+    answers = answers.select("sa", "sb", "n", "m", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("first0", "first").alias("first"))
+    rows = sets.select("doc_id", FILE, ROW, "n", "sa", "sb")
+    return keyed_join(rows, written(answers, "answers"), ["sa", "sb", "n"], "m", "left")
 
 
 def similar(docs: DataFrame, percent: int = 70) -> DataFrame:
     """doc_id, n_shingles, n_similar and component_id of every document."""
-    return join(docs, percent).drop("_k", "_root")
+    return join(docs, percent)
 
 
 def one_of_each(docs: DataFrame, percent: int = 70) -> DataFrame:
-    """The rows of ``docs`` without those that aren't the smallest id of their component.
-    Repeated rows of an id that stays all stay: exact dedup comes first."""
-    j = join(docs, percent)
-    gone = checked_broadcast(written(j.where("_k != _root").select(F.col("_k").alias("__x_gone")).distinct(), "gone"))
-    return docs.join(gone, _key() == F.col("__x_gone"), "left_anti")
+    """The rows of ``docs`` that are the first of their component: smallest id, and of rows that
+    repeat it the first in place."""
+    docs = standing(docs)
+    j = _joined(docs, percent, BLOCK, None)
+    other = (F.col(f"first.{FILE}") != F.col(FILE)) | (F.col(f"first.{ROW}") != F.col(ROW))
+    return without(docs, j.where(F.col("n_similar").isNotNull() & other))
