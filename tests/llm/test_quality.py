@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from rows import make
@@ -108,3 +109,16 @@ def test_chi_squared():
     assert q.chi2_quantile(0.95, 2) == pytest.approx(5.991465, abs=1e-5)
     assert q.chi2_quantile(0.975, 7) == pytest.approx(16.01276, abs=1e-4)
     assert q.consistency(1.0, 3) == 1
+
+
+def test_a_guard_that_is_reached_raises(spark, docs):
+    with pytest.raises(RuntimeError, match="still move"):
+        q.fit(q.written(q.with_stats(docs, ["lang", "source"]), "s"), steps=1, tolerance=-1.0, min_rows=5)
+
+
+def test_long_texts_and_odd_names(spark):
+    texts = ["word " * 400_000, "x" * 2_000_000, None, *[f"some plain words of text number {i} " * 12 for i in range(30)]]
+    d = make(spark, texts).withColumn("odd`name", F.lit(1))
+    rows = {r.doc_id: r for r in q.rules(d).collect()}
+    assert (rows[0].n_words, rows[0].base_failed, rows[1].word_chars, rows[2].n_words) == (400_000, True, 2_000_000, 0)
+    assert q.keep_good(d).columns == d.columns

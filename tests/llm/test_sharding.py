@@ -24,6 +24,19 @@ def test_bytes_are_even(spark, sf_dir):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.01 * max(sizes)
 
 
+def test_the_map_is_edited(spark, docs):
+    rows = s.shard(docs).collect()
+    assert {r.map_version for r in rows} == {2}
+    sized = s.sized(docs).collect()
+    sizes = s.slot_sizes(s.sized(docs))
+    first = s.SlotMap.dealt(shared_dir(spark), s.SLOTS, 8)
+    second = first.resized(8, sizes)
+    assert (second.slot_to_shard[[r.virtual_slot for r in rows]] == [r.shard for r in rows]).all() and len(sized) == len(rows)
+    moved = second.slot_to_shard != first.slot_to_shard
+    assert 0 < moved.sum() < s.SLOTS / 8 and (sizes[moved] > 0).all()
+    assert (s.SlotMap.load(first.folder, 1).slot_to_shard == first.slot_to_shard).all()
+
+
 def test_edges(odd, empty):
     assert s.shard(empty).collect() == []
     assert s.shard(odd).count() == odd.count()

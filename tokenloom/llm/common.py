@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,22 +19,54 @@ BROADCAST_ROWS = 200_000
 SEP_CLASS = r"[\x20\x09-\x0D]"
 
 
+_LOCAL: dict[str, str] = {}
+_MADE: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share. Only
-    where that is unset (tests, a laptop) a local temporary folder is set."""
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share. Where that is
+    unset, a temporary folder serves a session without a cluster (tests, a laptop), and on a
+    cluster this raises. Folders that the process has made go when it ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tokenloom-{uuid.uuid4().hex}"
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
+            _MADE.add(_LOCAL[app])
+        root = _LOCAL[app]
+    path = f"{root.rstrip('/')}/tokenloom-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
+def discard(*paths: str | DataFrame | None) -> None:
+    """Delete folders, or tables of ``written``, that no plan reads any more."""
+    for p in paths:
+        p = getattr(p, "_tokenloom_path", p)
+        if isinstance(p, str):
+            fs, path = open_fs(p)
+            try:
+                fs.delete_dir(path)
+            except (FileNotFoundError, OSError):
+                pass
+            _MADE.discard(p)
+
+
+@atexit.register
+def _discard_all() -> None:
+    discard(*list(_MADE))
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, and an
     executor that is lost takes no part of it along."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_dir(df.sparkSession)
+    df.write.parquet(f"{folder}/{name}")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out._tokenloom_path = folder
+    return out
 
 
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, written
+from .common import discard, keyed_join, written
 
 #: Up to so many edges (16 bytes each) one task finds all components; beyond it, stars do.
 ONE_TASK_EDGES = 2_000_000
@@ -60,11 +60,14 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES, rounds: int = 2
     state = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = keyed_join(both, _lows(both, "low"), "u", "c").withColumn("m", F.least("u", "m"))
+        low = _lows(both, "low")
+        large = keyed_join(both, low, "u", "c").withColumn("m", F.least("u", "m"))
         large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "large")
-        small = keyed_join(large, _lows(large, "low"), "u", "c").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = written(small.where("u != v").distinct(), "small")
+        low2 = _lows(large, "low")
+        small = keyed_join(large, low2, "u", "c").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        old, e = e, written(small.where("u != v").distinct(), "small")
+        discard(old, low, large, low2)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == state:
             break

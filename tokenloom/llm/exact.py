@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, dealt, keyed_join, partitions, read_file, shared_dir, write_file, written
+from .common import checked_broadcast, dealt, discard, keyed_join, partitions, read_file, shared_dir, write_file, written
 from .fuse import FuseFilter
 from .places import FILE, ROW, Answers, placed, standing, store, without
 from .tokencache import forget
@@ -280,6 +280,7 @@ def _decided(docs: DataFrame, digest_size: int, shard_keys: int) -> DataFrame:
     members = keyed_join(rows.select("digest", FILE, ROW), g.select("digest", "n", "g"), "digest", "n")
     members = store(members.select(FILE, ROW, "g", F.ceil(F.sqrt("n")).cast("long").alias("salts")))
     odd = _unequal(docs, members)
+    discard(members)
     sha = F.coalesce("full", F.lower(F.hex("digest"))).alias("text_sha256")
     out = keyed_join(rows, g, "digest", "n", "left").select(FILE, ROW, "doc_id", sha, "n", "first", "g")
     if odd.isEmpty():

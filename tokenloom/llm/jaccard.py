@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, keyed_join, partitions, written
+from .common import checked_broadcast, discard, keyed_join, partitions, written
 from .components import components, local_roots
 from .places import FILE, ROW, Answers, placed, standing, store, without
 from .tokencache import forget
@@ -164,7 +164,9 @@ def star_edges(nodes: DataFrame, name: str) -> DataFrame:
     stars = written(nodes.mapInArrow(_local_stars, "edge boolean, x long, y long"), "stars")
     heads = stars.where("not edge").select("x", "y").repartition(partitions(nodes.sparkSession), "x").sortWithinPartitions("x", "y")
     edges = stars.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(heads.mapInArrow(_sorted_stars, "a long, b long"))
-    return written(edges.distinct(), name)
+    edges = written(edges.distinct(), name)
+    discard(stars)
+    return edges
 
 
 def _sorted_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,6 +550,7 @@ def _joined(docs: DataFrame, percent: int, block: int, one_task: int | None) ->
     spread = tokens.join(checked_broadcast(tasks), "node").select("comp", "i", "j", "side", "node", "n", "m", "tokens")
     spread = spread.repartition(4 * partitions(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     found = written(spread.mapInArrow(_join_runs(percent), "a long, b long, links long"), "links")
+    discard(tokens, tasks)
     # Classes that link: their links and the first row of all that they reach.
     roots = components(found.select("a", "b"), **how)
     linked = roots.join(found.groupBy("a").agg(F.sum("links").alias("links")), F.col("node") == F.col("a"))

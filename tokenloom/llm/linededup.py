@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .common import dealt, read_file, shared_dir, write_file, written
+from .common import dealt, discard, read_file, shared_dir, write_file, written
 from .places import BLOCK, FILE, ROW, Answers, placed, standing, store
 
 SHARD_KEYS = 1 << 18
@@ -366,6 +366,7 @@ def dedup(docs: DataFrame, keep: list[str], texts: bool, least: int = 10, shard_
     docs = standing(docs)
     index = LineIndex.build(placed(docs, "doc_id", "text"), least, shard_keys, block)
     folder = store(index.repeated(), block)
+    discard(index.keys, index.folder)
     shown = [k for k in keep if k != "text" or not texts]
     kinds = {f.name: f.dataType for f in docs.schema}
     names = [*shown, "n_lines", "n_dropped", "text" if texts else "kept_sha256"]

@@ -36,6 +36,7 @@ from . import textkernel as tk
 
 CHUNK = 4 << 20
 SPACE = 32
+GRAIN = 24  # bits of a random number and of a share: their sums with a position are exact
 UNKNOWN = -12.0  # below the score of any piece of a usual vocabulary
 
 
@@ -103,7 +104,7 @@ def piece_model(path: str) -> PieceModel:
 
 def _uniform(key: np.ndarray, segment: np.ndarray, step: int) -> np.ndarray:
     h = tk.mix(tk.mix(key + (segment.astype(np.uint64) + tk.U(1)) * tk.U(0x9FB21C651E98DF25)) + tk.U((step + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
-    return (h >> tk.U(11)).astype(np.float64) * 2.0**-53
+    return (h >> tk.U(64 - GRAIN)).astype(np.float64) * 2.0**-GRAIN
 
 
 def _prefix_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,12 +183,17 @@ class Lattice:
                 log[to[new]] = np.logaddexp.reduceat(log[self.f[e]] + w[e], new)
         share = np.exp(log[self.f] + w - log[t])
         share[~np.isfinite(share)] = 0.0
-        c = np.cumsum(share)
+        # Running shares of each position's edges, one edge of every position a step, so that
+        # a row's sample has no bit from its neighbours in the batch.
         start = np.searchsorted(t, np.arange(total))
-        before = np.concatenate([[0.0], c])[start][t]
-        sums = np.bincount(t, share, total)
-        self.reach = t + np.minimum((c - before) / np.maximum(sums[t], 1e-300), 1.0)
+        nth = np.arange(len(t)) - start[t]
+        upto = share.copy()
+        by = np.argsort(nth, kind="stable")
+        cuts = np.searchsorted(nth[by], np.arange(1, int(nth.max(initial=0)) + 2))
+        for lo, hi in zip(cuts, cuts[1:]):
+            upto[by[lo:hi]] += upto[by[lo:hi] - 1]
         self.last = np.searchsorted(t, np.arange(total), "right") - 1
+        self.reach = t + np.rint(np.minimum(upto / np.maximum(upto[self.last[t]], 1e-300), 1.0) * 2.0**GRAIN) * 2.0**-GRAIN
         self.end = self.base + n
 
     def sample(self, seg: np.ndarray, key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

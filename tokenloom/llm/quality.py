@@ -17,7 +17,8 @@ Cases: null or empty text has no words and fails the base rules; null language o
 is a group like any other; (language, source) pairs of fewer than ``min_rows`` usable rows
 share one estimate per language, and those still too few one estimate overall; with
 fewer than that, nothing is rejected beyond the base rules. Repeated rows count as often
-as they occur. Further columns are kept as they are, whatever their names.
+as they occur. Texts of any length are read whole. Further columns are kept as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, written
+from .common import checked_broadcast, discard, quoted, written
 from .tokencache import forget
 
 UNIT = 1024
@@ -134,7 +135,7 @@ _STRUCT = "struct<" + ",".join(f"{c}:bigint" for c in (*COUNTS, *(f"x{i}" for i
 def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` and the struct ``_stat``."""
     df = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), f"{STAT} {_STRUCT}"])
+    schema = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.select(*keep).schema), f"{STAT} {_STRUCT}"])
     return df.mapInArrow(_with_stats("text", keep), schema)
 
 
@@ -250,11 +251,11 @@ def _scoped(counts: DataFrame, min_rows: int) -> DataFrame:
     )
 
 
-def fit(stats: DataFrame, share: float = 0.5, steps: int = 30, tolerance: float = 1e-3, min_rows: int = 100, trim: float = 0.975) -> DataFrame:
+def fit(stats: DataFrame, share: float = 0.5, steps: int = 100, tolerance: float = 1e-3, min_rows: int = 100, trim: float = 0.975) -> DataFrame:
     """The estimates, one row per (lang, source) that they judge. ``stats``: written rows of
     lang, source and ``_stat``. A step that doesn't lower its determinant is
-    not taken; steps end when none falls by more than ``tolerance`` (relative). ``steps``
-    is a guard that isn't reached."""
+    not taken; steps end when none falls by more than ``tolerance`` (relative). Raises if
+    ``steps`` of them aren't enough."""
     usable = stats.where(~base_failed())
     counts = usable.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     scope = written(_scoped(counts, min_rows), "scope")
@@ -272,6 +273,7 @@ def fit(stats: DataFrame, share: float = 0.5, steps: int = 30, tolerance: float
     )
     classic = _moments(rows).withColumn("start", F.lit(1)).mapInPandas(_inverse(1.0, FLOOR), _PAR_SCHEMA)
     params = written(first.unionByName(classic.withColumn("logdet", F.lit(1e9))), "params")
+    table = params
     for _ in range(steps):
         new = _step(rows, params, share)
         both = params.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
@@ -279,9 +281,12 @@ def fit(stats: DataFrame, share: float = 0.5, steps: int = 30, tolerance: float
         both = both.groupBy(*_KEY, "start").agg(F.min_by(F.struct(*rest), F.struct("logdet", "turn")).alias("p"), (F.max_by("logdet", -F.col("turn")) - F.min("logdet")).alias("fell"))
         both = written(both.select(*_KEY, "start", "p.*", "fell"), "params")
         moved = both.agg(F.max("fell")).first()[0]
-        params = both.drop("fell")
+        discard(table)
+        table, params = both, both.drop("fell")
         if moved is None or moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"estimates still move after {steps} steps")
     best = params.groupBy(*_KEY).agg(F.min_by(F.struct(*[c for c in params.columns if c not in _KEY]), F.struct("logdet", "start")).alias("p")).select(*_KEY, "p.*")
     best = written(best, "raw")
     near = rows.join(checked_broadcast(best), list(_KEY)).where(_d2() <= chi2_quantile(trim, P))
@@ -318,6 +323,6 @@ def keep_good(docs: DataFrame, tail: float = TAIL, **how) -> DataFrame:
     anew in the scan that filters, so no text is shuffled."""
     judges = fit(written(with_stats(docs, ["lang", "source"]), "stats"), **how)
     names = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}  # no name can clash
-    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "lang", "source")
+    d = docs.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()], "lang", "source")
     good = judge(with_stats(d, d.columns), judges, chi2_quantile(1 - tail, P)).where("kept")
     return good.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -1,17 +1,18 @@
 """Sharding by fixed virtual slots and a versioned map from slots to shards.
 
-Rows are hashed into ``SLOTS`` slots, bytes are summed per slot (a partial sum a task, so
-a table of at most ``SLOTS`` rows reaches the driver), and slots go to shards largest
-first, each to the shard with the fewest bytes. The map is a small JSON file per version
-in the shared folder; ``rebalance`` edits it for another number of shards by moving as
-few slots as it takes to even the shards out, and writes the next version.
+Rows are hashed into ``SLOTS`` slots, and bytes are summed per slot (a partial sum a task, so
+a table of at most ``SLOTS`` rows reaches the driver). Version 1 of the map deals slots
+out in turn before any row is seen. ``resized`` edits it, for new sizes or another number of
+shards, by moving as few slots as it takes to even the shards out (largest first, each to
+the shard with the fewest bytes), and writes the next version; rows are placed by it. A map
+is a small JSON file per version in the shared folder, and earlier versions stay.
 
 Places within a shard are gapless: each task numbers its rows per shard, and the counts
 per (task, shard) give every task its first place. No row is sorted and no shard is
 gathered.
 
 Cases: null text has size 1 and checksum 0; null ids and repeated rows are hashed like
-others (repeated rows share a slot); an empty table gives an empty result and a map of
+others (repeated rows share a slot); texts of any length are read whole; an empty table gives an empty result and a map of
 slots without bytes. Further columns aren't looked at.
 """
 
@@ -77,7 +78,7 @@ def rebalance(old: np.ndarray, sizes: np.ndarray, shards: int) -> np.ndarray:
             continue
         total = int(sizes[mine].sum())
         for i in mine.tolist():  # largest first: the fewest slots that bring it down
-            if int(sizes[i]) <= total - goal:
+            if 0 < int(sizes[i]) <= total - goal:
                 total -= int(sizes[i])
                 loose.append(i)
         load[s] = total
@@ -100,6 +101,11 @@ class SlotMap:
     def create(cls, folder: str, sizes: np.ndarray, shards: int) -> SlotMap:
         return cls(folder, 1, shards, assign(sizes, shards), sizes)._save()
 
+    @classmethod
+    def dealt(cls, folder: str, slots: int, shards: int) -> SlotMap:
+        """A first map, made before sizes are known: slots in turn."""
+        return cls(folder, 1, shards, np.arange(slots, dtype=np.int32) % shards, np.zeros(slots, np.int64))._save()
+
     def resized(self, shards: int, sizes: np.ndarray | None = None) -> SlotMap:
         sizes = self.sizes if sizes is None else sizes
         return SlotMap(self.folder, self.version + 1, shards, rebalance(self.slot_to_shard, sizes, shards), sizes)._save()
@@ -157,7 +163,7 @@ def place(rows: DataFrame, m: SlotMap) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
-    """Every row with its shard under version 1 of a new map."""
+    """Every row with its shard under version 2 of a map: the first, edited for the sizes."""
     rows = written(sized(docs, slots), "sized")
-    m = SlotMap.create(shared_dir(docs.sparkSession) + "/maps", slot_sizes(rows, slots), shards)
-    return place(rows, m)
+    m = SlotMap.dealt(shared_dir(docs.sparkSession) + "/maps", slots, shards)
+    return place(rows, m.resized(shards, slot_sizes(rows, slots)))
