@@ -120,3 +120,26 @@ def test_pieces_with_added_tokens_stay_in_the_jvm(spark):
     ids = {r.piece: r.ids for r in t.piece_table(df.select(F.explode("p").alias("piece"))).collect()}
     for r in df.where("text is not null").collect():
         assert [i for p in r.p for i in ids[p]] == t.engine.encode(r.text)
+
+
+def test_decode_of_odd_arrays(spark):
+    from pyspark.errors import PythonException
+
+    t = toy.tokenizer(template=True)
+    start = t.token_to_id(toy.START)
+    df = spark.createDataFrame([(1, [72, start, 105]), (2, []), (3, None), (4, [0xC3, 0xA9, 0xC3])], "i long, ids array<int>").coalesce(1)
+    shown = [r[0] for r in df.orderBy("i").select(t.decode("ids")).collect()]
+    plain = [r[0] for r in df.orderBy("i").select(t.decode("ids", True)).collect()]
+    assert shown == ["H" + toy.START + "i", "", None, "é\ufffd"] and plain == ["Hi", "", None, "é\ufffd"]
+    for bad in (10**6, -1, None):
+        with pytest.raises(PythonException, match="unknown token id"):
+            spark.createDataFrame([([1, bad],)], "ids array<int>").select(t.decode("ids")).collect()
+
+
+def test_a_split_that_may_match_nothing(spark):
+    from tokenloom.operators.pretok import Sequence, Split
+
+    df = spark.createDataFrame([("small ring",), ("",), (None,)], "t string").coalesce(1)
+    s = Split("[aeiou]*", "Isolated")
+    assert [r[0] for r in df.select(s.column(F.col("t"))).collect()] == [["sm", "a", "ll r", "i", "ng"], [], None]
+    assert [r[0] for r in df.select(Sequence([Split(" ", "Removed"), s]).column(F.col("t"))).collect()] == [["sm", "a", "ll", "r", "i", "ng"], [], None]

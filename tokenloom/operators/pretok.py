@@ -8,9 +8,11 @@ combination of the two.
 
 from __future__ import annotations
 
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bytes_map import encode_column, encode_text
 from ..sources.spec import TokenizerError, UnsupportedComponent
@@ -38,6 +40,16 @@ def _compiled(p: str):
         raise TokenizerError(f"bad pattern: {e}") from e
 
 
+def _by_python(step, c: Column) -> Column:
+    """Pieces by the step's own matcher, for patterns that the JVM would cut otherwise."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def pieces(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else step.pieces(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return pieces(c)
+
+
 class Split:
     def __init__(self, pattern: str, behaviour: str = "Isolated", invert: bool = False):
         if behaviour not in BEHAVIOURS:
@@ -102,6 +114,8 @@ class Split:
         return "runs" if b == "Contiguous" else "both"
 
     def column(self, c: Column) -> Column:
+        if not self.native:
+            return _by_python(self, c)
         how = self._how()
         p = java_pattern(self.pattern if how != "runs" else f"(?:{self.pattern})+")
         gaps, found = F.split(c, p, -1), F.regexp_extract_all(c, F.lit(p), F.lit(0))
@@ -163,6 +177,8 @@ class Sequence:
         return out
 
     def column(self, c: Column) -> Column:
+        if not self.native:
+            return _by_python(self, c)
         out = F.filter(F.array(c), lambda x: x != "")
         for s in self.steps:
             out = F.flatten(F.transform(out, s.column))

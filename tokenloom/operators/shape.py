@@ -5,7 +5,7 @@ An encoding is struct<ids, attention_mask, type_ids, special_tokens_mask, n_sequ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.spec import Padding, TokenizerError, Truncation
@@ -74,19 +74,14 @@ def padded(e: Column, p: Padding | None, longest: Column | None = None) -> Colum
 
 
 def pad_batches(df: DataFrame, column: str, p: Padding, *batch: str) -> DataFrame:
-    """Pad the encodings of ``column`` to one length per batch (``batch`` columns). The
-    longest of each batch is an aggregate of its own (partial maxima before the shuffle),
-    joined back by the batch; without batch columns it is one row for the whole table."""
-    n = F.max(F.size(F.col(f"{column}.ids"))).alias("_longest")
+    """Pad the encodings of ``column`` to one length per batch (``batch`` columns; a batch is
+    padded as a whole, so its rows meet, and are encoded once). Without batch columns the
+    longest is an aggregate of its own, one row for the whole table, which isn't gathered."""
+    size = F.size(F.col(f"{column}.ids"))
     if batch:
-        keys = [F.col(c).alias(f"_b{i}") for i, c in enumerate(batch)]
-        top = df.groupBy(*keys).agg(n)
-        on = F.lit(True)
-        for i, c in enumerate(batch):
-            on = on & df[c].eqNullSafe(top[f"_b{i}"])
-        both = df.join(top, on)
+        both = df.withColumn("_longest", F.max(size).over(Window.partitionBy(*batch)))
     else:
-        both = df.crossJoin(F.broadcast(df.agg(n)))  # one row
+        both = df.crossJoin(F.broadcast(df.agg(F.max(size).alias("_longest"))))  # one row
     return both.withColumn(column, padded(F.col(column), p, F.col("_longest"))).select(*df.columns)
 
 

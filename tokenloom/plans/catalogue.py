@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 import os
+import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -321,6 +323,41 @@ def mismatch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", shape.mismatches(F.col("a"), F.col("b")).cast("long").alias("n_mismatched"))
 
 
+@query(f"WITH {_BENCH} SELECT item_id, {SQL_SHOW.format('ids[1:30]')} AS ids, {SQL_SHOW.format('list_transform(ids[1:30], lambda i: 1)')} AS mask, 1 AS n_sequences FROM enc")
+def encoding_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = shape.encoding_cut(shape.encoding(F.col("ids")), 30)
+    d = _benchmark(spark, sf_dir).select("item_id", e.alias("e"))
+    return d.select("item_id", show(F.col("e.ids")).alias("ids"), show(F.col("e.attention_mask")).alias("mask"), "e.n_sequences")
+
+
+@query("SELECT item_id, 0 AS n_pieces, '' AS ids, 0 AS n_tokens, '' AS back FROM benchmark")
+def empty_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tok()
+    d = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 0).alias("text"))
+    return d.select("item_id", F.size(t.pieces("text")).alias("n_pieces"), show(t.encode("text")).alias("ids"), t.count("text").alias("n_tokens"), t.decode(t.encode("text")).alias("back"))
+
+
+@query(f"SELECT p_partkey, array_to_string({oracles.classic_pieces("' ' || p_name")}, '|') AS pieces FROM part")
+def prefix_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No name begins with a space, so one is put before each."""
+    p = ByteLevel(True)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(p.raw_column(F.col("p_name")), "|").alias("pieces"))
+
+
+@query("SELECT p_partkey, array_to_string(regexp_extract_all(p_name, '[aeiou]+|[^aeiou]+'), '|') AS pieces FROM part")
+def split_where_nothing_may_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern with empty matches: these are passed over, so gaps stay whole."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(Split("[aeiou]*", "Isolated").column(F.col("p_name")), "|").alias("pieces"))
+
+
+@query(f"WITH {_BENCH} SELECT item_id, {SQL_SHOW.format('ids')} AS ids, true AS same FROM enc")
+def saved_and_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tokenizer from its JSON and one from its pickle encode as it did itself."""
+    a, b = Tokenizer.from_json(tok().to_json()), pickle.loads(pickle.dumps(tok()))
+    d = table(spark, sf_dir, "benchmark").select("item_id", a.encode("text").alias("ids"), b.encode("text").alias("b"))
+    return d.select("item_id", show(F.col("ids")).alias("ids"), (F.col("ids") == F.col("b")).alias("same"))
+
+
 # == vocabulary ==
 
 
@@ -448,15 +485,38 @@ def sql_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT item_id, pos, token_id FROM toy_benchmark, LATERAL toy_explode(text)")
 
 
+def _stream_folder(spark: SparkSession) -> str:
+    """A new folder in shared storage; a temporary one only without a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tokenloom-stream-")
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT item_id AS stream_id, md5(substr(text, 1 + length(text) // 2)) AS text_md5 FROM benchmark")
+def stream_decode_after_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of a text is the stream's prompt: only the rest is emitted."""
+    folder = _stream_folder(spark)
+    half = F.expr("length(text) div 2")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("stream_id"), tok().encode(F.col("text").substr(F.lit(1), half)).alias("prompt"), tok().encode(F.col("text").substr(half + 1, F.length("text"))).alias("ids"))
+    b.select("stream_id", "prompt", F.posexplode("ids").alias("seq", "token_id")).withColumn("seq", F.col("seq").cast("long")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("stream_id long, prompt array<int>, seq long, token_id int").parquet(f"{folder}/in")
+    return _streamed(spark, folder, decode_stream(stream, tok(), prompt="prompt"))
+
+
 @query("SELECT item_id AS stream_id, md5(text) AS text_md5 FROM benchmark")
 def stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token streams decoded step by step with state; the chunks of a stream make its text."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tokenloom-stream-")
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = _stream_folder(spark)
     ids = _benchmark(spark, sf_dir).select(F.col("item_id").alias("stream_id"), F.posexplode("ids").alias("seq", "token_id"))
     ids.select("stream_id", F.col("seq").cast("long").alias("seq"), "token_id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("stream_id long, seq long, token_id int").parquet(f"{folder}/in")
-    out = decode_stream(stream, tok())
+    return _streamed(spark, folder, decode_stream(stream, tok()))
+
+
+def _streamed(spark: SparkSession, folder: str, out: DataFrame) -> DataFrame:
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     chunks = spark.read.schema("stream_id long, seq long, chunk string").parquet(f"{folder}/out")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "")

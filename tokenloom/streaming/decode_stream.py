@@ -59,10 +59,12 @@ class DecodeStream:
 _STATE = "ids array<int>, prefix string, prefix_index int"
 
 
-def decode_stream(df: DataFrame, tokenizer: Tokenizer, key: str = "stream_id", seq: str = "seq", token: str = "token_id", skip_special_tokens: bool = False) -> DataFrame:
+def decode_stream(df: DataFrame, tokenizer: Tokenizer, key: str = "stream_id", seq: str = "seq", token: str = "token_id", skip_special_tokens: bool = False, prompt: str | None = None) -> DataFrame:
     """(key, seq, chunk) for every step of a streaming ``df`` that completes text. Steps of a
     micro-batch are taken in the order of ``seq``; a stream's rows must not arrive out of
-    order across micro-batches. Null tokens complete nothing."""
+    order across micro-batches. Null tokens complete nothing. ``prompt`` names a column of id
+    arrays: those of a stream's first row (null: none) come before its tokens, and their text
+    isn't emitted."""
     shipped = tokenizer.shipped
     kind = df.schema[key].dataType.simpleString()
 
@@ -73,6 +75,8 @@ def decode_stream(df: DataFrame, tokenizer: Tokenizer, key: str = "stream_id", s
             ids, prefix, index = state.get
             s = DecodeState([int(i) for i in ids], prefix, int(index))
         rows = pd.concat(list(batches)).sort_values(seq, kind="stable")
+        if prompt is not None and not state.exists and len(rows) and rows[prompt].iloc[0] is not None:
+            s = DecodeState([int(i) for i in rows[prompt].iloc[0]])
         out = []
         for at, t in zip(rows[seq], rows[token]):
             if pd.isna(t):

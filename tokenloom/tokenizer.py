@@ -7,6 +7,7 @@ distinct piece is encoded once, and aggregates join the result, so no id array i
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import zlib
 
@@ -30,7 +31,7 @@ class _Shipped:
 
     def __init__(self, spec: S.TokenizerSpec):
         self.data = zlib.compress(pickle.dumps(spec), 1)
-        self.key = f"{zlib.crc32(self.data)}-{len(self.data)}"
+        self.key = hashlib.sha256(self.data).hexdigest()
 
     def engine(self) -> Engine:
         if self.key not in _ENGINES:
@@ -266,20 +267,26 @@ class Tokenizer:
 
         @F.arrow_udf(T.StringType())
         def decode(rows: pa.Array) -> pa.Array:
+            if isinstance(rows, pa.ChunkedArray):
+                rows = rows.combine_chunks()
             e = shipped.engine()
-            table = _table(shipped.key, e)
-            gone = e.added.special_ids if skip else ()
-            out = []
-            for ids in rows.to_pylist():
-                if ids is None:
-                    out.append(None)
-                    continue
-                try:
-                    data = b"".join([table[i] for i in ids if i not in gone] if gone else [table[i] for i in ids])
-                except KeyError as x:
-                    raise S.TokenizerError(f"unknown token id: {x.args[0]}") from None
-                out.append(data.decode("utf-8", "replace"))
-            return pa.array(out, pa.string())
+            number, data, offs = _table(shipped.key, e)
+            some = rows.fill_null(pa.scalar([], rows.type)) if rows.null_count else rows
+            ids = some.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
+            n = some.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = number[np.clip(ids, -1, len(number) - 1)]  # the last one stands for ids beyond
+            if (at < 0).any():
+                raise S.TokenizerError(f"unknown token id: {ids[np.argmax(at < 0)]}")
+            row = np.repeat(np.arange(len(n)), n)
+            if skip and e.added.special_ids:
+                keep = ~np.isin(ids, np.array(sorted(e.added.special_ids)))
+                at, row = at[keep], row[keep]
+            size = offs[at + 1] - offs[at]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            text = data[np.repeat(offs[at] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+            ends = upto[np.searchsorted(row, np.arange(len(n)), "right")].tolist()
+            out = [text[x:z].decode("utf-8", "replace") for x, z in zip([0, *ends], ends)]
+            return pa.array(out, pa.string(), mask=rows.is_null().to_numpy(zero_copy_only=False))
 
         return decode(F.col(ids) if isinstance(ids, str) else ids)
 
@@ -336,12 +343,16 @@ def _shown_ids(e: Engine, pieces: list[str | None]) -> list[bytes | None]:
     return [None if p is None else ids[raw[p]] for p in pieces]
 
 
-_TABLES: dict[str, dict[int, bytes]] = {}
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def _table(key: str, e: Engine) -> dict[int, bytes]:
+def _table(key: str, e: Engine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Id to number (-1: none, and so is the last), all tokens' bytes, and their offsets by number."""
     if key not in _TABLES:
         if len(_TABLES) >= 4:
             _TABLES.clear()
-        _TABLES[key] = e.token_bytes()
+        known = e.token_bytes()
+        number = np.full(max(known, default=-1) + 2, -1, np.int64)
+        number[list(known)] = np.arange(len(known))
+        _TABLES[key] = number, np.frombuffer(b"".join(known.values()), np.uint8), np.concatenate([[0], np.cumsum([len(v) for v in known.values()])]).astype(np.int64)
     return _TABLES[key]
