@@ -166,14 +166,16 @@ class Lattice:
         tos.append(pos[bare] + 1)
         ids.append(model.byte_ids[b[bare]])
         f, t, p = (np.concatenate(x) for x in (froms, tos, ids))
-        order = np.lexsort((p, f, t))
+        # By position, then start: one key, as no two edges have both in common. It comes in runs
+        # that are sorted already, one a length, which a stable sort merges.
+        order = np.argsort(t * (max(model.by_length) + 1) - (t - f), kind="stable")
         self.f, t, self.p = f[order], t[order], p[order]
         w = model.score[self.p] * alpha
         # Forward filtering: all segments advance one position a step.
         depth = t - np.repeat(self.base, n + 1)[t]
         log = np.full(total, -np.inf)
         log[self.base] = 0.0
-        by = np.argsort(depth, kind="stable")
+        by = np.argsort(depth.astype(np.uint16) if n.max(initial=0) < 1 << 16 else depth, kind="stable")
         cuts = np.searchsorted(depth[by], np.arange(1, int(n.max(initial=0)) + 2))
         for lo, hi in zip(cuts, cuts[1:]):
             e = by[lo:hi]
@@ -183,17 +185,13 @@ class Lattice:
                 log[to[new]] = np.logaddexp.reduceat(log[self.f[e]] + w[e], new)
         share = np.exp(log[self.f] + w - log[t])
         share[~np.isfinite(share)] = 0.0
-        # Running shares of each position's edges, one edge of every position a step, so that
-        # a row's sample has no bit from its neighbours in the batch.
-        start = np.searchsorted(t, np.arange(total))
-        nth = np.arange(len(t)) - start[t]
-        upto = share.copy()
-        by = np.argsort(nth, kind="stable")
-        cuts = np.searchsorted(nth[by], np.arange(1, int(nth.max(initial=0)) + 2))
-        for lo, hi in zip(cuts, cuts[1:]):
-            upto[by[lo:hi]] += upto[by[lo:hi] - 1]
-        self.last = np.searchsorted(t, np.arange(total), "right") - 1
-        self.reach = t + np.rint(np.minimum(upto / np.maximum(upto[self.last[t]], 1e-300), 1.0) * 2.0**GRAIN) * 2.0**-GRAIN
+        # Shares in whole grains: their running sums are exact, so a row's sample has no bit
+        # from its neighbours in the batch.
+        upto = np.cumsum(np.bincount(t, minlength=total))
+        start = np.concatenate([[0], upto[:-1]])
+        c = np.concatenate([[0], np.cumsum(np.rint(share * 2.0**GRAIN).astype(np.int64))])
+        self.reach = t + np.minimum(c[1:] - c[start][t], 1 << GRAIN) * 2.0**-GRAIN
+        self.last = upto - 1
         self.end = self.base + n
 
     def sample(self, seg: np.ndarray, key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
