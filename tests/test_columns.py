@@ -143,3 +143,25 @@ def test_a_split_that_may_match_nothing(spark):
     s = Split("[aeiou]*", "Isolated")
     assert [r[0] for r in df.select(s.column(F.col("t"))).collect()] == [["sm", "a", "ll r", "i", "ng"], [], None]
     assert [r[0] for r in df.select(Sequence([Split(" ", "Removed"), s]).column(F.col("t"))).collect()] == [["sm", "a", "ll", "r", "i", "ng"], [], None]
+
+
+def test_long_batches_are_taken_in_parts(spark):
+    """A batch of many rows never reaches the function as a whole; rows and nulls stay in place."""
+    import pyarrow as pa
+
+    from tokenloom.operators import parts
+
+    texts = pa.array(["a" * 400_000, None, "", "é" * 300_000, "b" * (3 << 20), *["c" * 1000] * 3000])
+    got = list(parts.parts(texts))
+    assert pa.concat_arrays(got).equals(texts) and len(got) == 5
+    assert all(sum(map(len, map(str.encode, filter(None, p.to_pylist())))) <= parts.PART or len(p) == 1 for p in got)
+    lists = pa.array([[1] * 200_000, None, [], *[[2] * 100_000] * 9], pa.list_(pa.int32()))
+    assert [len(p) for p in parts.parts(lists)] == [3, 2, 2, 2, 2, 1]
+    assert [len(p) for p in parts.parts(pa.chunked_array([["a"], [], ["b", "c"]]))] == [1, 2]
+
+    t = toy.tokenizer()
+    d = spark.createDataFrame([(i, None if i % 7 == 3 else f"the é thing {i} " * (i % 5) * 4000) for i in range(60)], "k int, text string").coalesce(1)
+    out = d.select("k", "text", t.decode(t.encode("text")).alias("back")).collect()
+    assert len(out) == 60 and all(r.text == r.back for r in out)
+    seen = spark.createDataFrame([([0xC3, 0xA9],), ([0xC3],), (None,), ([],), ([0x61, 0xFF],)], "ids array<int>").coalesce(1)
+    assert [r.s for r in seen.select(t.decode("ids").alias("s")).collect()] == ["é", "�", None, "", "a�"]

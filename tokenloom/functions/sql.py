@@ -12,31 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import postproc
-from ..tokenizer import Tokenizer, _lists
+from ..tokenizer import Tokenizer, decoder, encoder
 
 
 def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") -> None:
     shipped = tokenizer.shipped
     templates = tokenizer.engine.templates
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pa.Array) -> pa.Array:
-        e = shipped.engine()
-        return _lists(e.encode_many(texts.to_pylist()))
-
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode_special(texts: pa.Array) -> pa.Array:
         e = shipped.engine()
         return pa.array([None if t is None else postproc.apply(templates, e.encode(t)) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    def decoder(skip: bool):
-        @F.arrow_udf(T.StringType())
-        def decode(rows: pa.Array) -> pa.Array:
-            e = shipped.engine()
-            return pa.array([None if r is None else e.decode(r, skip) for r in rows.to_pylist()], pa.string())
-
-        return decode
-
     @F.arrow_udf(T.IntegerType())
     def count(texts: pa.Array) -> pa.Array:
         e = shipped.engine()
@@ -58,7 +45,7 @@ def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") ->
                         yield pos, shown, i
                         pos += 1
 
-    named = {"encode": encode, "encode_special": encode_special, "decode": decoder(False), "decode_clean": decoder(True), "count": count, "pieces": pieces}
+    named = {"encode": encoder(shipped), "encode_special": encode_special, "decode": decoder(shipped, False), "decode_clean": decoder(shipped, True), "count": count, "pieces": pieces}
     for name, f in named.items():
         spark.udf.register(f"{prefix}_{name}", f)
     spark.udtf.register(f"{prefix}_explode", Explode)

@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from .functions.bytes_map import raw_text
 from .operators import postproc, shape
 from .operators.engine import Engine
 from .operators.normalize import nfc
+from .operators.parts import in_parts
 from .sources import spec as S
 
 _ENGINES: dict[str, Engine] = {}
@@ -52,6 +54,43 @@ def _lists(parts: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values))
 
 
+def encoder(shipped: _Shipped):
+    """Texts to ids, as a function of a column."""
+
+    def encode(texts: pa.Array) -> pa.Array:
+        return _lists(shipped.engine().encode_many(texts.to_pylist()))
+
+    return in_parts(T.ArrayType(T.IntegerType()), encode)
+
+
+def decoder(shipped: _Shipped, skip: bool):
+    """Ids to texts, as a function of a column."""
+
+    def decode(rows: pa.Array) -> pa.Array:
+        e = shipped.engine()
+        number, tokens = _table(shipped.key, e)
+        some = rows.fill_null(pa.scalar([], rows.type)) if rows.null_count else rows
+        ids = some.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
+        at = number[np.clip(ids, -1, len(number) - 1)]  # the last one stands for ids beyond
+        if (at < 0).any():
+            raise S.TokenizerError(f"unknown token id: {ids[np.argmax(at < 0)]}")
+        upto = np.concatenate([[0], np.cumsum(some.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        if skip and e.added.special_ids:
+            keep = ~np.isin(ids, np.array(sorted(e.added.special_ids)))
+            at, upto = at[keep], np.concatenate([[0], np.cumsum(keep)])[upto]
+        _, offs, data = tokens.take(pa.array(at)).buffers()
+        ends = np.frombuffer(offs, np.int64, len(at) + 1)[upto]
+        nulls = rows.is_null().to_numpy(zero_copy_only=False) if rows.null_count else None
+        try:
+            out = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), data]).cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # somewhere bytes make no characters
+            text, ends = data.to_pybytes(), ends.tolist()
+            out = pa.array([text[x:z].decode("utf-8", "replace") for x, z in zip(ends, ends[1:])], pa.string())
+        return out if nulls is None else pc.if_else(pa.array(~nulls), out, pa.scalar(None, pa.string()))
+
+    return in_parts(T.StringType(), decode)
+
+
 class Tokenizer:
     """``Tokenizer.from_file(path)``; then ``df.select(tok.encode("text"))`` and so on."""
 
@@ -137,14 +176,7 @@ class Tokenizer:
 
     def ids(self, text: Column | str) -> Column:
         """Ids of a text column without the post-processor; null in, null out."""
-        shipped = self.shipped
-
-        @F.arrow_udf(T.ArrayType(T.IntegerType()))
-        def encode(texts: pa.Array) -> pa.Array:
-            e = shipped.engine()
-            return _lists(e.encode_many(texts.to_pylist()))
-
-        return encode(F.col(text) if isinstance(text, str) else text)
+        return encoder(self.shipped)(F.col(text) if isinstance(text, str) else text)
 
     def encode(self, text: Column | str, add_special_tokens: bool = False) -> Column:
         ids = self.ids(text)
@@ -263,32 +295,7 @@ class Tokenizer:
 
     def decode(self, ids: Column | str, skip_special_tokens: bool = False) -> Column:
         """Text of an id array; an unknown id fails the query."""
-        shipped, skip = self.shipped, skip_special_tokens
-
-        @F.arrow_udf(T.StringType())
-        def decode(rows: pa.Array) -> pa.Array:
-            if isinstance(rows, pa.ChunkedArray):
-                rows = rows.combine_chunks()
-            e = shipped.engine()
-            number, data, offs = _table(shipped.key, e)
-            some = rows.fill_null(pa.scalar([], rows.type)) if rows.null_count else rows
-            ids = some.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
-            n = some.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            at = number[np.clip(ids, -1, len(number) - 1)]  # the last one stands for ids beyond
-            if (at < 0).any():
-                raise S.TokenizerError(f"unknown token id: {ids[np.argmax(at < 0)]}")
-            row = np.repeat(np.arange(len(n)), n)
-            if skip and e.added.special_ids:
-                keep = ~np.isin(ids, np.array(sorted(e.added.special_ids)))
-                at, row = at[keep], row[keep]
-            size = offs[at + 1] - offs[at]
-            upto = np.concatenate([[0], np.cumsum(size)])
-            text = data[np.repeat(offs[at] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
-            ends = upto[np.searchsorted(row, np.arange(len(n)), "right")].tolist()
-            out = [text[x:z].decode("utf-8", "replace") for x, z in zip([0, *ends], ends)]
-            return pa.array(out, pa.string(), mask=rows.is_null().to_numpy(zero_copy_only=False))
-
-        return decode(F.col(ids) if isinstance(ids, str) else ids)
+        return decoder(self.shipped, skip_special_tokens)(F.col(ids) if isinstance(ids, str) else ids)
 
     def decode_tokens(self, tokens: Column | str) -> Column:
         """Text of an array of token strings."""
@@ -343,16 +350,16 @@ def _shown_ids(e: Engine, pieces: list[str | None]) -> list[bytes | None]:
     return [None if p is None else ids[raw[p]] for p in pieces]
 
 
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_TABLES: dict[str, tuple[np.ndarray, pa.LargeBinaryArray]] = {}
 
 
-def _table(key: str, e: Engine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Id to number (-1: none, and so is the last), all tokens' bytes, and their offsets by number."""
+def _table(key: str, e: Engine) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """Id to number (-1: none, and so is the last), and all tokens' bytes by number."""
     if key not in _TABLES:
         if len(_TABLES) >= 4:
             _TABLES.clear()
         known = e.token_bytes()
         number = np.full(max(known, default=-1) + 2, -1, np.int64)
         number[list(known)] = np.arange(len(known))
-        _TABLES[key] = number, np.frombuffer(b"".join(known.values()), np.uint8), np.concatenate([[0], np.cumsum([len(v) for v in known.values()])]).astype(np.int64)
+        _TABLES[key] = number, pa.array(known.values(), pa.large_binary())
     return _TABLES[key]
