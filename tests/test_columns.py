@@ -165,3 +165,16 @@ def test_long_batches_are_taken_in_parts(spark):
     assert len(out) == 60 and all(r.text == r.back for r in out)
     seen = spark.createDataFrame([([0xC3, 0xA9],), ([0xC3],), (None,), ([],), ([0x61, 0xFF],)], "ids array<int>").coalesce(1)
     assert [r.s for r in seen.select(t.decode("ids").alias("s")).collect()] == ["é", "�", None, "", "a�"]
+
+
+def test_counting_goes_through_batches_in_parts(spark):
+    import pyarrow as pa
+
+    from tokenloom.tokenizer import counter
+
+    t = toy.tokenizer()
+    texts = ["the thing " * 10_000] * 40 + [None, ""]
+    got = list(counter(t.shipped).func(iter([pa.array(texts), pa.array(["x"])])))
+    assert [len(g) for g in got] == [10, 10, 10, 12, 1]
+    n = len(t.engine.encode(texts[0]))
+    assert pa.concat_arrays(got).to_pylist() == [n] * 40 + [None, 0, 1]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import postproc
-from ..tokenizer import Tokenizer, decoder, encoder
+from ..tokenizer import Tokenizer, counter, decoder, encoder
 
 
 def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") -> None:
@@ -24,11 +24,6 @@ def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") ->
         e = shipped.engine()
         return pa.array([None if t is None else postproc.apply(templates, e.encode(t)) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    @F.arrow_udf(T.IntegerType())
-    def count(texts: pa.Array) -> pa.Array:
-        e = shipped.engine()
-        return pa.array([None if x is None else len(x) // 4 for x in e.encode_many(texts.to_pylist())], pa.int32())
-
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pa.Array) -> pa.Array:
         e = shipped.engine()
@@ -45,7 +40,7 @@ def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") ->
                         yield pos, shown, i
                         pos += 1
 
-    named = {"encode": encoder(shipped), "encode_special": encode_special, "decode": decoder(shipped, False), "decode_clean": decoder(shipped, True), "count": count, "pieces": pieces}
+    named = {"encode": encoder(shipped), "encode_special": encode_special, "decode": decoder(shipped, False), "decode_clean": decoder(shipped, True), "count": counter(shipped), "pieces": pieces}
     for name, f in named.items():
         spark.udf.register(f"{prefix}_{name}", f)
     spark.udtf.register(f"{prefix}_explode", Explode)

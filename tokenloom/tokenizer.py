@@ -63,6 +63,15 @@ def encoder(shipped: _Shipped):
     return in_parts(T.ArrayType(T.IntegerType()), encode)
 
 
+def counter(shipped: _Shipped):
+    """Numbers of ids of texts, as a function of a column."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else len(x) // 4 for x in shipped.engine().encode_many(texts.to_pylist())], pa.int32())
+
+    return in_parts(T.IntegerType(), count)
+
+
 def decoder(shipped: _Shipped, skip: bool):
     """Ids to texts, as a function of a column."""
 
@@ -184,14 +193,7 @@ class Tokenizer:
 
     def count(self, text: Column | str) -> Column:
         """Number of ids; only the count leaves Python."""
-        shipped = self.shipped
-
-        @F.arrow_udf(T.IntegerType())
-        def count(texts: pa.Array) -> pa.Array:
-            e = shipped.engine()
-            return pa.array([None if x is None else len(x) // 4 for x in e.encode_many(texts.to_pylist())], pa.int32())
-
-        return count(F.col(text) if isinstance(text, str) else text)
+        return counter(self.shipped)(F.col(text) if isinstance(text, str) else text)
 
     def post_process(self, ids: Column, add_special_tokens: bool = True) -> Column:
         return postproc.apply_column(self.engine.templates, ids) if add_special_tokens else ids
