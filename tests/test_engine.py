@@ -248,3 +248,14 @@ def test_many_pieces_side_by_side():
     want = [None if t is None else toy.tokenizer(added=True).engine.encode(t) for t in texts]
     got = [None if x is None else np.frombuffer(x, np.uint32).tolist() for x in e.encode_many(texts)]
     assert got == want
+
+
+def test_memory_of_pieces_is_bounded():
+    """Of many distinct pieces few are remembered, long ones not at all; those met again stay."""
+    e = toy.tokenizer().engine
+    e.memory = 100
+    for i in range(50):
+        e.encode_many([f"always {'x' * 70} " + " ".join(str(i * 100 + k) for k in range(30))])
+        assert len(e._known) + len(e._older) <= 100 + 2 * 70
+        assert "always" in e._known and not any(len(p) > 64 for p in e._known)
+    assert e.encode_many(["always " + "x" * 70])[0] == toy.tokenizer().engine.encode_many(["always " + "x" * 70])[0]
