@@ -178,3 +178,19 @@ def test_counting_goes_through_batches_in_parts(spark):
     assert [len(g) for g in got] == [10, 10, 10, 12, 1]
     n = len(t.engine.encode(texts[0]))
     assert pa.concat_arrays(got).to_pylist() == [n] * 40 + [None, 0, 1]
+
+
+@pytest.mark.parametrize("how", [{}, {"nfc": True}, {"fused": True, "pattern": " ?\\p{L}+|\\s+|[^\\s\\p{L}]+"}, {"added": True}])
+def test_set_wise_counts_read_texts_once(spark, sf_dir, how):
+    t = toy.tokenizer(**how)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").select("doc_id", "lang", "text")
+    odd = spark.createDataFrame([(-1, None, "<p>é the</p>"), (-2, "x", None), (-3, "x", ""), (-4, "y", "\U0001f600 İ")], docs.schema)
+    got = t.token_counts(docs, "text", "lang")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    d = docs.union(odd)
+    want = {r.lang: r.n for r in d.groupBy("lang").agg(F.sum(t.count("text")).alias("n")).collect() if r.n}
+    assert {r.lang: r.n_tokens for r in t.token_counts(d, "text", "lang").collect()} == want
+    assert t.token_counts(d, "text").first().n_tokens == sum(want.values())
+    pieces = d.select(F.explode(t.pieces("text")).alias("piece")).groupBy("piece").count()
+    assert sorted(t.piece_counts(d, "text").collect()) == sorted(pieces.collect())

@@ -210,7 +210,7 @@ def token_count_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["token_count_by_lang"])
 def token_count_set_wise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces are counted per language, distinct pieces encoded once."""
+    """Pieces are counted per language; a language's distinct pieces are encoded once."""
     return tok().token_counts(documents(spark, sf_dir, "lang", "text"), "text", "lang")
 
 

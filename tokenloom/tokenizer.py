@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.bytes_map import raw_text
+from .functions.bytes_map import encode_column, raw_text
 from .operators import postproc, shape
 from .operators.engine import Engine
 from .operators.normalize import nfc
@@ -271,21 +271,49 @@ class Tokenizer:
 
         return ids(F.col(piece) if isinstance(piece, str) else piece)
 
+    def _unmapped(self, text: Column) -> Column | None:
+        """array<string> of pieces before their bytes are mapped, where that is the last step
+        and the JVM can cut them."""
+        e = self.engine
+        if not e.raw or len(e.added) or not e.pretok.native:
+            return None
+        if e.normalizers:
+            text = nfc(text)
+        return e.pretok.steps[0].column(text) if e.fused else e.pretok.raw_column(text)
+
+    def _counted(self, df: DataFrame, text: str, *by: str) -> tuple[DataFrame, bool]:
+        """``piece_counts``, and whether the pieces' bytes are still to be mapped."""
+        pieces = self._unmapped(F.col(text))
+        raw = pieces is not None
+        return df.select(*by, F.explode(pieces if raw else self.pieces(text)).alias("piece")).groupBy(*by, "piece").agg(F.count(F.lit(1)).alias("n")), raw
+
     def piece_counts(self, df: DataFrame, text: str, *by: str) -> DataFrame:
-        """(by..., piece, n): occurrences of each piece, counted before the shuffle."""
-        return df.select(*by, F.explode(self.pieces(text)).alias("piece")).groupBy(*by, "piece").agg(F.count(F.lit(1)).alias("n"))
+        """(by..., piece, n): occurrences of each piece, counted before the shuffle. Bytes are
+        mapped after that, once per piece."""
+        counted, raw = self._counted(df, text, *by)
+        return counted.withColumn("piece", encode_column(F.col("piece"))) if raw else counted
 
     def piece_table(self, counted: DataFrame) -> DataFrame:
         """(piece, ids) of the distinct pieces of ``counted``, each encoded once."""
         return counted.select("piece").distinct().select("piece", self.piece_ids("piece").alias("ids"))
 
     def token_counts(self, df: DataFrame, text: str, *by: str) -> DataFrame:
-        """(by..., n_tokens) without building any text's ids."""
-        counted = self.piece_counts(df, text, *by)
-        if not by:
-            return counted.select((F.size(self.piece_ids("piece")) * F.col("n")).alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n_tokens"))
-        sized = self.piece_table(counted).select("piece", F.size("ids").alias("t"))
-        return counted.join(sized, "piece").groupBy(*by).agg(F.sum(F.col("n") * F.col("t")).alias("n_tokens"))
+        """(by..., n_tokens) without building any text's ids. Texts are read and cut once; the
+        number of ids of a group's pieces is asked where they were counted, without a join."""
+        counted, raw = self._counted(df, text, *by)
+        shipped = self.shipped
+
+        @F.arrow_udf(T.LongType())
+        def size(pieces: pa.Array) -> pa.Array:
+            e = shipped.engine()
+            pieces = pieces.to_pylist()
+            if not raw:
+                return pa.array([len(x) // 4 for x in _shown_ids(e, pieces)], pa.int64())
+            ids = e._learn(list(set(pieces)))
+            return pa.array([len(ids[p]) // 4 for p in pieces], pa.int64())
+
+        total = F.sum(F.col("n") * size("piece"))
+        return counted.groupBy(*by).agg((total if by else F.coalesce(total, F.lit(0))).alias("n_tokens"))
 
     def token_frequencies(self, df: DataFrame, text: str) -> DataFrame:
         """(token_id, n) over all texts: pieces are counted first, then their ids."""
