@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom import Padding
-from tokenloom.operators import shape
+from tokenloom.operators import normalize, shape
 from tokenloom.plans import analytics, catalogue, toy
 from tokenloom.sources import corpora, sinks
 
@@ -194,3 +194,25 @@ def test_set_wise_counts_read_texts_once(spark, sf_dir, how):
     assert t.token_counts(d, "text").first().n_tokens == sum(want.values())
     pieces = d.select(F.explode(t.pieces("text")).alias("piece")).groupBy("piece").count()
     assert sorted(t.piece_counts(d, "text").collect()) == sorted(pieces.collect())
+
+
+def test_every_function_of_texts_takes_parts(spark):
+    """With a full vocabulary's decode, what cuts, normalizes and joins takes a MB at a time too."""
+    import pyarrow as pa
+
+    from tokenloom.tokenizer import cutter, decoder
+
+    try:
+        t = catalogue.full()
+    except ImportError:
+        t = toy.tokenizer()
+    text = "the thing é " * 10_000
+    ids = t.engine.encode(text)
+    got = list(decoder(t.shipped, False).func(iter([pa.array([ids] * 40 + [None, []], pa.list_(pa.int32()))])))
+    assert len(got) > 1 and pa.concat_arrays(got).to_pylist() == [text] * 40 + [None, ""]
+    got = list(cutter(t.shipped).func(iter([pa.array([text] * 40 + [None])])))
+    assert len(got) > 1 and pa.concat_arrays(got).to_pylist() == [t.engine.pieces(text)] * 40 + [None]
+    apart = "e\u0301 " * 400_000
+    d = spark.createDataFrame([(k, apart if k % 2 else None) for k in range(6)], "k int, text string").coalesce(1)
+    n = normalize.nfc(F.col("text"))
+    assert [r.n for r in d.select(n.alias("n")).collect()] == [None, "\u00e9 " * 400_000] * 3

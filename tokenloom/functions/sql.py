@@ -12,23 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import postproc
-from ..tokenizer import Tokenizer, counter, decoder, encoder
+from ..operators.parts import in_parts
+from ..tokenizer import Tokenizer, counter, cutter, decoder, encoder
 
 
 def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") -> None:
     shipped = tokenizer.shipped
     templates = tokenizer.engine.templates
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode_special(texts: pa.Array) -> pa.Array:
         e = shipped.engine()
         return pa.array([None if t is None else postproc.apply(templates, e.encode(t)) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def pieces(texts: pa.Array) -> pa.Array:
-        e = shipped.engine()
-        return pa.array([None if t is None else e.pieces(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-
     @F.udtf(returnType="pos: int, piece: string, token_id: int")
     class Explode:
         def eval(self, text: str):
@@ -40,7 +35,7 @@ def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "tok") ->
                         yield pos, shown, i
                         pos += 1
 
-    named = {"encode": encoder(shipped), "encode_special": encode_special, "decode": decoder(shipped, False), "decode_clean": decoder(shipped, True), "count": counter(shipped), "pieces": pieces}
+    named = {"encode": encoder(shipped), "encode_special": in_parts(T.ArrayType(T.IntegerType()), encode_special), "decode": decoder(shipped, False), "decode_clean": decoder(shipped, True), "count": counter(shipped), "pieces": cutter(shipped)}
     for name, f in named.items():
         spark.udf.register(f"{prefix}_{name}", f)
     spark.udtf.register(f"{prefix}_explode", Explode)

@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.spec import UnsupportedComponent
+from .parts import in_parts
 
 
 def nfc_text(text: str) -> str:
@@ -29,11 +29,10 @@ def build(config: dict | None) -> list[Callable[[str], str]]:
     raise UnsupportedComponent("normalizer", kind)
 
 
-@F.arrow_udf(T.StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else nfc_text(t) for t in texts.to_pylist()], pa.string())
 
 
 def nfc(c: Column) -> Column:
     """NFC of a string column; ASCII and normal texts pass through."""
-    return _nfc(c)
+    return in_parts(T.StringType(), _nfc)(c)

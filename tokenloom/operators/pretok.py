@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.bytes_map import encode_column, encode_text
 from ..sources.spec import TokenizerError, UnsupportedComponent
+from .parts import in_parts
 
 BEHAVIOURS = ("Removed", "Isolated", "MergedWithPrevious", "MergedWithNext", "Contiguous")
 _L, _N = r"\p{L}", r"\p{N}"
@@ -43,11 +44,10 @@ def _compiled(p: str):
 def _by_python(step, c: Column) -> Column:
     """Pieces by the step's own matcher, for patterns that the JVM would cut otherwise."""
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else step.pieces(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return pieces(c)
+    return in_parts(T.ArrayType(T.StringType()), pieces)(c)
 
 
 class Split:

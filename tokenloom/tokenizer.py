@@ -72,6 +72,16 @@ def counter(shipped: _Shipped):
     return in_parts(T.IntegerType(), count)
 
 
+def cutter(shipped: _Shipped):
+    """Texts to shown pieces, as a function of a column."""
+
+    def pieces(texts: pa.Array) -> pa.Array:
+        e = shipped.engine()
+        return pa.array([None if t is None else e.pieces(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return in_parts(T.ArrayType(T.StringType()), pieces)
+
+
 def decoder(shipped: _Shipped, skip: bool):
     """Ids to texts, as a function of a column."""
 
@@ -252,14 +262,7 @@ class Tokenizer:
         native = self.native_pieces(text)
         if native is not None:
             return native
-        shipped = self.shipped
-
-        @F.arrow_udf(T.ArrayType(T.StringType()))
-        def pieces(texts: pa.Array) -> pa.Array:
-            e = shipped.engine()
-            return pa.array([None if t is None else e.pieces(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-
-        return pieces(text)
+        return cutter(self.shipped)(text)
 
     def piece_ids(self, piece: Column | str) -> Column:
         """Ids of single shown pieces."""
@@ -331,12 +334,11 @@ class Tokenizer:
         """Text of an array of token strings."""
         shipped = self.shipped
 
-        @F.arrow_udf(T.StringType())
         def decode(rows: pa.Array) -> pa.Array:
             e = shipped.engine()
             return pa.array([None if r is None else e.decode_tokens(r) for r in rows.to_pylist()], pa.string())
 
-        return decode(F.col(tokens) if isinstance(tokens, str) else tokens)
+        return in_parts(T.StringType(), decode)(F.col(tokens) if isinstance(tokens, str) else tokens)
 
     # == tables and lookups ==
 
