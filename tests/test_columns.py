@@ -216,3 +216,8 @@ def test_every_function_of_texts_takes_parts(spark):
     d = spark.createDataFrame([(k, apart if k % 2 else None) for k in range(6)], "k int, text string").coalesce(1)
     n = normalize.nfc(F.col("text"))
     assert [r.n for r in d.select(n.alias("n")).collect()] == [None, "\u00e9 " * 400_000] * 3
+
+
+def test_roundtrip_encodes_once(spark, sf_dir):
+    plan = catalogue.decode_roundtrip(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("run(text#") == 1
