@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -148,3 +150,40 @@ def test_components(spark, one_task):
     df = spark.createDataFrame(edges, "a long, b long").repartition(3)
     roots = {r.node: r.root for r in components(df, one_task).collect()}
     assert all(roots[i] == 10 for i in range(10, 41)) and all(roots[i] == 7 for i in (7, 100, 200, 300)) and roots.get(5, 5) == 5
+
+
+def traced(f):
+    """MB that ``f`` holds at once."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("universe", [200, 8000])
+def test_memory_of_a_large_group(universe):
+    """2,500 near copies: each links with all others, and no list of these pairs is held."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 100, dtype=np.uint64)
+    other = rng.integers(1 << 62, 1 << 63, universe, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.choice(other, 5, replace=False)])) for _ in range(2500)]
+    kind = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 3 + [pa.binary()]
+    rows = [(1, 0, 0, False, k, len(s), k % 3 + 1, s.tobytes()) for k, s in enumerate(sets)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind)], list("cijsknmt"))
+    out = []
+    assert traced(lambda: out.extend(j._join_runs(70)(iter([batch])))) < 100
+    got = out[0].to_pydict()
+    m = np.arange(2500) % 3 + 1
+    assert sorted(got["a"]) == list(range(2500)) and len(set(got["b"])) == 1
+    assert [x for _, x in sorted(zip(got["a"], got["links"]))] == (m.sum() - m).tolist()
+
+
+def test_memory_of_connected_keys():
+    """Four batches of keys, half of which come again."""
+    rng = np.random.default_rng(6)
+    keys = rng.integers(0, 1 << 62, 1 << 20)
+    node = np.arange(1 << 20)
+    batches = [pa.RecordBatch.from_arrays([pa.array(node[k::4]), pa.array(np.where(node[k::4] % 8 < 4, keys[: 1 << 18], keys[k::4]))], ["node", "key"]) for k in range(4)] * 3
+    assert traced(lambda: [len(b) for b in j._local_stars(iter(batches))]) < 100

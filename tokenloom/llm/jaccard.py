@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, discard, keyed_join, partitions, written
+from .common import checked_broadcast, discard, keyed_join, partitions, returned, written
 from .components import components, local_roots
 from .places import FILE, ROW, Answers, placed, standing, store, without
 from .tokencache import forget
@@ -50,6 +50,9 @@ from .wavelet import binaries
 ROWS, BANDS = 4, 96
 BLOCK = 1 << 20
 SHARES = 1 << 17
+#: Keys that a task connects at once, and pairs of nodes that a traversal expands at once (by FAN * FAN at most).
+KEYS = 1 << 19
+PAIRS = 1 << 12
 _A = (tk.mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | tk.U(1)).astype(np.uint32)
 _B = tk.mix(np.arange(7001, 7001 + ROWS * BANDS, dtype=np.uint64)).astype(np.uint32)
 
@@ -151,19 +154,21 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(key):
             held.append((key, node))
             size += len(key)
-        if size > 1 << 22:
+        if size > KEYS:
             yield from flush()
             held, size = [], 0
     if held:
         yield from flush()
 
 
-def star_edges(nodes: DataFrame, name: str) -> DataFrame:
+def star_edges(nodes: DataFrame, name: str, first=None) -> DataFrame:
     """Edges (a, b; written) that connect the nodes of each key of ``nodes`` (node, key or
-    list of keys): first within a task, so a key sends one row a task to the shuffle."""
-    stars = written(nodes.mapInArrow(_local_stars, "edge boolean, x long, y long"), "stars")
+    list of keys): first within a task, so a key sends few rows a task to the shuffle.
+    ``first`` makes such rows of those of ``nodes``, in the same worker."""
+    make = returned(_local_stars if first is None else lambda batches: _local_stars(first(batches)))
+    stars = written(nodes.mapInArrow(make, "edge boolean, x long, y long"), "stars")
     heads = stars.where("not edge").select("x", "y").repartition(partitions(nodes.sparkSession), "x").sortWithinPartitions("x", "y")
-    edges = stars.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(heads.mapInArrow(_sorted_stars, "a long, b long"))
+    edges = stars.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(heads.mapInArrow(returned(_sorted_stars), "a long, b long"))
     edges = written(edges.distinct(), name)
     discard(stars)
     return edges
@@ -223,7 +228,7 @@ def _possible(x: Tree, y: Tree, lx: int, ly: int, i: np.ndarray, j: np.ndarray,
     """Which node pairs may hold a link, and (for leaves) their common bits at least."""
     keep = (100 * x.hi[lx][i] >= percent * y.lo[ly][j]) & (100 * y.hi[ly][j] >= percent * x.lo[lx][i])
     at = np.flatnonzero(keep)
-    step = max(1, (1 << 21) // x.bits[0].shape[1])
+    step = max(1, (1 << 18) // x.bits[0].shape[1])
     for k in range(0, len(at), step):
         z = at[k : k + step]
         p, q = i[z], j[z]
@@ -237,7 +242,7 @@ def traverse(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.nd
     stack = [(len(x.bits) - 1, len(y.bits) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         lx, ly, i, j = stack.pop()
-        if len(i) > 1 << 16:
+        if len(i) > PAIRS:
             half = len(i) // 2
             stack += [(lx, ly, i[:half], j[:half]), (lx, ly, i[half:], j[half:])]
             continue
@@ -269,6 +274,13 @@ MAX_BITS = 4096
 
 def links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of linked sets (indices); with ``side``, only pairs across the sides."""
+    out = [(np.zeros(0, np.int64),) * 2, *linked(sets, sizes, side, percent)]
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def linked(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``links`` in pieces: a group of near copies has a pair for any two of them, so they
+    aren't held."""
     m = len(sets)
     of = np.repeat(np.arange(m), [len(s) for s in sets])
     uniq, tok, cnt = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -285,7 +297,6 @@ def links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, pe
     spare = kept - np.bitwise_count(word).sum(1, dtype=np.int64)
     first = np.searchsorted(of, np.arange(m + 1))
     low = np.where(kept > 0, tok[np.minimum(first[:-1], max(len(tok) - 1, 0))] if len(tok) else 0, -1)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
 
     def tree(idx: np.ndarray) -> tuple[Tree, np.ndarray]:
         order = idx[np.lexsort((sizes[idx], low[idx]))]
@@ -296,7 +307,7 @@ def links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, pe
         y, oy = x, ox
     else:
         if side.all() or not side.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         x, ox = tree(np.flatnonzero(~side))
         y, oy = tree(np.flatnonzero(side))
     here = np.zeros(universe + 1, bool)
@@ -318,10 +329,7 @@ def links(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, pe
                 ok[lo:hi] = hit[end] - hit[end - n] >= need(sizes[i[lo]], sizes[js], percent)
                 here[mine] = False
             i, j = i[ok], j[ok]
-        out.append((i, j))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+        yield i, j
 
 
 def _member_sets(folder: str):
@@ -432,27 +440,34 @@ def _join_runs(percent: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
         node, n, m = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
         side = np.array([bool(r[3]) for r in rows]) if rows[0][1] != rows[0][2] else None
-        i, j = links([np.frombuffer(r[7], np.uint64) for r in rows], n, side, percent)
-        if not len(i):
+        deg, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        for i, j in linked([np.frombuffer(r[7], np.uint64) for r in rows], n, side, percent):
+            np.add.at(deg, i, m[j])
+            np.add.at(deg, j, m[i])
+            a, b = root[i], root[j]
+            if (new := a != b).any():
+                x, low = local_roots(a[new], b[new])
+                at = np.arange(len(rows))
+                at[x] = low
+                root = at[root]
+        some = np.flatnonzero(deg)
+        if not len(some):
             return None
-        deg = np.zeros(len(rows), np.int64)
-        np.add.at(deg, i, m[j])
-        np.add.at(deg, j, m[i])
-        nodes, root = local_roots(node[i], node[j])
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root), pa.array(deg[np.argsort(node)[np.searchsorted(np.sort(node), nodes)]])], ["a", "b", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[some], node[root[some]], deg[some])], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out = None, [], []
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if r[:3] != at:
-                    if len(rows) > 1 and (x := solve(rows)) is not None:
-                        out.append(x)
-                    at, rows = r[:3], []
-                    if len(out) > 1000:
-                        yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-                        out = []
-                rows.append(r)
+            for lo in range(0, b.num_rows, 256):
+                for r in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
+                    if r[:3] != at:
+                        if len(rows) > 1 and (x := solve(rows)) is not None:
+                            out.append(x)
+                        at, rows = r[:3], []
+                        if len(out) > 1000:
+                            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                            out = []
+                    rows.append(r)
         if len(rows) > 1 and (x := solve(rows)) is not None:
             out.append(x)
         if out:
@@ -500,13 +515,13 @@ def members_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, **how) -> t
     members = classes.join(checked_broadcast(chains.select(F.col("node").alias("sa"), F.col("root").alias("chain"))), "sa")
     members = written(members.withColumn("node", F.monotonically_increasing_id()), "members")
     at = store(members.select(F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{ROW}").alias(ROW), "chain", "node", "n", "m"))
-    return members, written(placed(docs, "text").mapInArrow(_member_sets(at), "node long, n long, m long, tokens binary"), "tokens")
+    return members, written(placed(docs, "text").mapInArrow(returned(_member_sets(at)), "node long, n long, m long, tokens binary"), "tokens")
 
 
 def frequent_tokens(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Every token that makes up more than 1 / ``SHARES`` of all, and some of those that make
     up half of that or more: 2 * ``SHARES`` tokens at most. Their ranks come after all others'."""
-    part = tokens.select("tokens").mapInArrow(_frequent, "token long, c long")
+    part = tokens.select("tokens").mapInArrow(returned(_frequent), "token long, c long")
     all_ = tokens.agg(F.sum("n")).first()[0] or 0
     t = part.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= all_ / (2 * SHARES)).orderBy("token").toArrow()
     return t.column("token").to_numpy(), t.column("c").to_numpy() + (1 << 40)
@@ -517,12 +532,11 @@ def groups_of(tokens: DataFrame, percent: int, **how) -> DataFrame:
     spark, schema = tokens.sparkSession, "token long, node long, n long, rank long"
     frequent = spark.sparkContext.broadcast(frequent_tokens(tokens))
     t = tokens.select("node", "n", "tokens")
-    rest = t.mapInArrow(_occurrences(frequent, False), schema).drop("rank")
-    rest = rest.repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(_ranked, schema)
-    each = rest.unionByName(t.mapInArrow(_occurrences(frequent, True), schema))
+    rest = t.mapInArrow(returned(_occurrences(frequent, False)), schema).drop("rank")
+    rest = rest.repartition(partitions(spark), "token").sortWithinPartitions("token").mapInArrow(returned(_ranked), schema)
+    each = rest.unionByName(t.mapInArrow(returned(_occurrences(frequent, True)), schema))
     each = each.repartition(partitions(spark), "node").sortWithinPartitions("node", "rank", "token").select("node", "n", "token")
-    prefixes = each.mapInArrow(_prefixes(percent), "node long, key long")
-    return components(star_edges(prefixes, "edges"), **how).select("node", F.col("root").alias("comp"))
+    return components(star_edges(each, "edges", _prefixes(percent)), **how).select("node", F.col("root").alias("comp"))
 
 
 def join(docs: DataFrame, percent: int = 70, block: int = BLOCK, one_task: int | None = None) -> DataFrame:
@@ -541,7 +555,7 @@ def _joined(docs: DataFrame, percent: int, block: int, one_task: int | None) ->
     """Of every row: doc_id, place, n, and where it has a link n_similar and its component's first row."""
     how = {} if one_task is None else {"one_task": one_task}
     schema = f"doc_id long, n long, sa long, sb long, bands array<long>, {FILE} long, {ROW} long"
-    sets = written(placed(docs, "doc_id", "text").mapInArrow(_sets, schema), "sets")
+    sets = written(placed(docs, "doc_id", "text").mapInArrow(returned(_sets), schema), "sets")
     classes = classes_of(sets)
     members, tokens = members_of(docs, sets, classes, **how)
     groups = written(groups_of(tokens, percent, **how), "groups")
@@ -549,7 +563,7 @@ def _joined(docs: DataFrame, percent: int, block: int, one_task: int | None) ->
     tasks = written(_tasks(written(grouped.select("comp", "node", "n"), "grouped"), block).select("comp", "i", "j", "side", "node"), "tasks")
     spread = tokens.join(checked_broadcast(tasks), "node").select("comp", "i", "j", "side", "node", "n", "m", "tokens")
     spread = spread.repartition(4 * partitions(docs.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    found = written(spread.mapInArrow(_join_runs(percent), "a long, b long, links long"), "links")
+    found = written(spread.mapInArrow(returned(_join_runs(percent)), "a long, b long, links long"), "links")
     discard(tokens, tasks)
     # Classes that link: their links and the first row of all that they reach.
     roots = components(found.select("a", "b"), **how)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import open_fs, partitions, quoted, shared_dir, write_file, written
+from .common import open_fs, partitions, quoted, returned, shared_dir, write_file, written
 
 BLOCK = 1 << 16
 FILE, ROW = "__x_file", "__x_row"
@@ -93,7 +93,7 @@ def store(answers: DataFrame, block: int = BLOCK) -> str:
     rest = [c for c in answers.columns if c != FILE]
     a = answers.select(FILE, F.expr(f"{ROW} div {block}").alias("__x_block"), *rest)
     a = a.repartition(partitions(answers.sparkSession), FILE, "__x_block").sortWithinPartitions(FILE, "__x_block", *rest)
-    written(a.mapInArrow(_store(folder), "rows long"), "stored")
+    written(a.mapInArrow(returned(_store(folder)), "rows long"), "stored")
     return folder
 
 
@@ -152,4 +152,4 @@ def without(df: DataFrame, gone: DataFrame) -> DataFrame:
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
     plain = placed(df, *names).toDF(*names.values(), FILE, ROW)
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names.values(), df.schema)])
-    return plain.mapInArrow(_listed(store(gone.select(FILE, ROW)), False), schema).toDF(*names)
+    return plain.mapInArrow(returned(_listed(store(gone.select(FILE, ROW)), False)), schema).toDF(*names)

@@ -15,16 +15,15 @@ what was met most since it was last full stays; results never depend on it.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import json
 import os
 import re
 
 import numpy as np
-import pyarrow as pa
 
 from . import textkernel as tk
+from .common import give_back
 
 _OPEN: dict[str, WordIds] = {}
 
@@ -49,11 +48,7 @@ def forget() -> None:
     if _OPEN:
         _OPEN.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc
-            pass
+        give_back()
 
 
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
