@@ -187,3 +187,10 @@ def test_memory_of_connected_keys():
     node = np.arange(1 << 20)
     batches = [pa.RecordBatch.from_arrays([pa.array(node[k::4]), pa.array(np.where(node[k::4] % 8 < 4, keys[: 1 << 18], keys[k::4]))], ["node", "key"]) for k in range(4)] * 3
     assert traced(lambda: [len(b) for b in j._local_stars(iter(batches))]) < 100
+
+
+def test_memory_is_given_back_once_a_task_ends(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    assert [*common.returned(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2]))] == [1, 2]
+    assert seen == [1, 2, "back"]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, dealt, discard, keyed_join, partitions, read_file, shared_dir, write_file, written
+from .common import checked_broadcast, dealt, discard, keyed_join, partitions, read_file, returned, shared_dir, write_file, written
 from .fuse import FuseFilter
 from .places import FILE, ROW, Answers, placed, standing, store, without
 from .tokencache import forget
@@ -74,7 +74,7 @@ def _digest(size: int):
 def digests(docs: DataFrame, size: int = 32) -> DataFrame:
     """doc_id, SHA-256 of each normalised text, and place; ``size`` < 32 cuts the digest short
     (tests make collisions by it) and gives the whole one in ``full``."""
-    return placed(docs, "doc_id", "text").mapInArrow(_digest(size), f"doc_id long, digest binary, full string, {FILE} long, {ROW} long")
+    return placed(docs, "doc_id", "text").mapInArrow(returned(_digest(size)), f"doc_id long, digest binary, full string, {FILE} long, {ROW} long")
 
 
 def _build(folder: str):
@@ -150,7 +150,7 @@ class Snapshot:
         distinct_digests(rows).write.parquet(f"{folder}/digests")
         found = rows.sparkSession.read.schema(_DISTINCT).parquet(f"{folder}/digests")
         shards = max(1, -(-found.count() // shard_keys))
-        _keyed(found.select("digest"), shards).select("shard", "key").mapInArrow(_build(f"{folder}/filters"), "shard int, keys long, size long").write.parquet(f"{folder}/built")
+        _keyed(found.select("digest"), shards).select("shard", "key").mapInArrow(returned(_build(f"{folder}/filters")), "shard int, keys long, size long").write.parquet(f"{folder}/built")
         write_file(f"{folder}/snapshot.json", json.dumps({"shards": shards}).encode())
         return cls(folder, shards, found)
 
@@ -161,7 +161,7 @@ class Snapshot:
 
     def screen(self, incoming: DataFrame) -> DataFrame:
         """Distinct incoming digests with ``maybe``: false is certain absence."""
-        return _keyed(incoming, self.shards).mapInArrow(_screen(f"{self.folder}/filters"), f"{_DISTINCT}, maybe boolean")
+        return _keyed(incoming, self.shards).mapInArrow(returned(_screen(f"{self.folder}/filters")), f"{_DISTINCT}, maybe boolean")
 
     def split(self, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Distinct incoming digests that are in the snapshot (with its row that stays as
@@ -260,10 +260,10 @@ def _heads(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
 def _unequal(docs: DataFrame, members: str) -> DataFrame:
     """The buckets (g) that hold unequal texts."""
     schema = f"doc_id long, g long, salt int, mixed boolean, t binary, {FILE} long, {ROW} long"
-    t = placed(docs, "doc_id", "text").mapInArrow(_members(members, True), schema).select("g", "salt", "mixed", "t")
+    t = placed(docs, "doc_id", "text").mapInArrow(returned(_members(members, True)), schema).select("g", "salt", "mixed", "t")
     for part in ("salt", None):  # parts of a bucket, then their first texts
         t = t if part else t.select("g", F.lit(0).alias("salt"), "mixed", "t")
-        t = t.repartition(partitions(docs.sparkSession), "g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_compared, "g long, mixed boolean, t binary")
+        t = t.repartition(partitions(docs.sparkSession), "g", "salt").sortWithinPartitions("g", "salt").mapInArrow(returned(_compared), "g long, mixed boolean, t binary")
         if part:
             t = t.withColumn("salt", F.lit(0)).select("g", "salt", "mixed", "t")
     return written(t.where("mixed").select("g").distinct(), "unequal")
@@ -289,7 +289,7 @@ def _decided(docs: DataFrame, digest_size: int, shard_keys: int) -> DataFrame:
     odd = checked_broadcast(odd)
     again = store(out.join(odd, "g").select(FILE, ROW, "g", F.lit(1).cast("long").alias("salts")))
     schema = f"doc_id long, g long, salt int, mixed boolean, t binary, {FILE} long, {ROW} long"
-    t = written(placed(docs, "doc_id", "text").mapInArrow(_members(again, False), schema), "again")
+    t = written(placed(docs, "doc_id", "text").mapInArrow(returned(_members(again, False)), schema), "again")
     exact = t.select("g", "t", FILE, ROW).join(distinct_digests(t, "g", "t"), ["g", "t"]).select(FILE, ROW, "n", "first")
     anew = out.join(odd, "g").drop("n", "first", "g").join(exact, [FILE, ROW])
     return out.join(odd, "g", "left_anti").drop("g").unionByName(anew)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checked_broadcast, discard, quoted, written
+from .common import checked_broadcast, discard, quoted, returned, written
 from .tokencache import forget
 
 UNIT = 1024
@@ -136,7 +136,7 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` and the struct ``_stat``."""
     df = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.select(*keep).schema), f"{STAT} {_STRUCT}"])
-    return df.mapInArrow(_with_stats("text", keep), schema)
+    return df.mapInArrow(returned(_with_stats("text", keep)), schema)
 
 
 def base_failed(s: str = STAT, min_words: int = 50, repeat_percent: int = 50) -> Column:
